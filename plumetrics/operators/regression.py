@@ -129,7 +129,7 @@ class LinearFit:
             _, _, _, df_resid, rank, rss, tss = _solve_interaction(levels, factor, xs)
             return _fit_rows({}, levels["n"].sum(), levels["n_dropped"].sum(), df_resid, rank, rss, tss)
 
-        together = self.moment_rows.filter(F.col("n") > 0).groupBy(F.lit(1))
+        together = self.moment_rows.filter(F.col("n") > 0).withColumn("model", F.lit(1)).groupBy("model")
         return (
             together.applyInPandas(coefficient_rows, COEFFICIENT_FIELDS),
             together.applyInPandas(fit_rows, FIT_FIELDS),
