@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tried in this order, so 03-04-2020 is always 4 March.
-MIXED_DATE_FORMATS = ("yyyy-M-d", "yyyyMMdd", "M-d-yyyy", "d-M-yyyy", "yyyy-M", "M-yyyy")
+# Shape of the digits -> formats tried in this order, so 03-04-2020 is always 4 March.
+MIXED_DATE_FORMATS = {
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$": ("yyyy-M-d",),
+    r"^[0-9]{8}$": ("yyyyMMdd",),
+    r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": ("M-d-yyyy", "d-M-yyyy"),
+    r"^[0-9]{4}-[0-9]{1,2}$": ("yyyy-M",),
+    r"^[0-9]{1,2}-[0-9]{4}$": ("M-yyyy",),
+}
 
 
 def calendar_parts(ts: Column) -> dict[str, Column]:
@@ -36,4 +42,7 @@ def parse_mixed_date(text: Column) -> Column:
     Any run of separators counts as one. The order of preference is fixed, see MIXED_DATE_FORMATS.
     """
     plain = F.regexp_replace(F.trim(text), "[^0-9]+", "-")
-    return F.coalesce(*[F.try_to_date(plain, fmt) for fmt in MIXED_DATE_FORMATS])
+    date = F.when(plain == "", None)
+    for shape, formats in MIXED_DATE_FORMATS.items():
+        date = date.when(plain.rlike(shape), F.coalesce(*[F.try_to_date(plain, f) for f in formats]))
+    return date

@@ -10,8 +10,10 @@ KEY_SEPARATOR = "|||"
 # A leading decimal number, as a browser's number parser would take it from the front of a text.
 NUMBER_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
-# A zone offset such as +02:00 or -0330, only after a clock time.
-ZONE_OFFSET = r"[0-9]{2}:[0-9]{2}.*([+-][0-9]{2}):?([0-9]{2})$"
+# Text that starts with a year; a bare clock time is no date.
+DATED = r"^[0-9]{4}"
+# A clock time that ends in Z or in a zone offset such as +02:00 or -0330.
+ZONED = r"[0-9]:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def number(name: str | Column) -> Column:
@@ -21,8 +23,8 @@ def number(name: str | Column) -> Column:
 
 
 def is_finite(value: Column) -> Column:
-    """True for a present number that is neither NaN nor infinite."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    """True for a present number that is neither NaN nor infinite (NaN sorts above infinity)."""
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
 def finite_or_null(value: Column) -> Column:
@@ -46,14 +48,14 @@ def parse_number(text: Column) -> Column:
 def parse_time(text: Column) -> Column:
     """ISO text, or "date time" text, to a UTC clock time without zone; NULL for junk.
 
-    Text without a zone is read as UTC; a numeric offset is taken off. The session zone plays no part.
+    Text without a zone is read as UTC, whatever the zone of the session.
     """
-    clock = F.trim(text).try_cast("timestamp_ntz")
-    hours = F.regexp_extract(F.trim(text), ZONE_OFFSET, 1).try_cast("int")
-    minutes = F.regexp_extract(F.trim(text), ZONE_OFFSET, 2).try_cast("int")
-    sign = F.when(F.regexp_extract(F.trim(text), ZONE_OFFSET, 1).startswith("-"), -1).otherwise(1)
-    offset = F.coalesce(hours * 60 + sign * minutes, F.lit(0))
-    return F.when(offset == 0, clock).otherwise(clock - F.make_dt_interval(mins=offset))
+    trimmed = F.trim(text)
+    suffix = F.when(trimmed.rlike(ZONED), "").when(trimmed.contains(":"), "Z").otherwise("T00:00:00Z")
+    dated = F.when(trimmed.rlike(DATED), F.concat(trimmed, suffix))
+    instant = dated.try_cast("timestamp")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
 def rescale(value: Column, low: Column, high: Column) -> Column:

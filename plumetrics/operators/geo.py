@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import KEY_SEPARATOR, widen_if_flat
-from plumetrics.operators.quantiles import hinted, keyed_join
-from plumetrics.session import cut_lineage
+from plumetrics.operators.quantiles import keyed_join
+from plumetrics.session import cut_lineage, cut_lineage_counted
 
 # Fixed value: two points of one timestamp this near belong together.
 LINK_DEG = 0.08
 # Cell pairs with at most this many location pairs are compared location by location.
 COMPARE_LIMIT = 4096
 LEAF_LOCATIONS = 64
+# Distances that agree to this many decimals count as equal.
+TIE_DECIMALS = 12
 SLACK = 1e-9
 WIDEST_REACH = 1080.0
 
@@ -223,10 +225,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     links between the joined nodes go on to the next round. The links shrink by a constant factor on average,
     whatever the shape of the components (Boegeholz, Brand and Todor, 2020).
     """
-    links = cut_lineage(links.select("a", "b"), "links")
-    joined: list[DataFrame] = []
-    while not links.isEmpty():
-        salt = F.lit(len(joined))
+    links, left = cut_lineage_counted(links.select("a", "b"), "links")
+    steps: list[DataFrame] = []
+    while left:
+        salt = F.lit(len(steps))
 
         def place(node: str) -> Column:
             return F.struct(F.xxhash64(node, salt).alias("h"), F.col(node).alias("id"))
@@ -235,20 +237,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         first = both.groupBy("node").agg(F.min(place("other")).alias("best"))
         root = F.least(place("node"), F.col("best"))["id"]
         step = cut_lineage(first.select("node", root.alias("root")), "step")
-        joined.append(step)
-        side = hinted(step, step.count())
+        steps.append(step)
         for end in ("a", "b"):
-            links = links.join(side.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+            links = links.join(step.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
         links = links.filter(F.col("a_root") != F.col("b_root")).select(
             F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")
         ).distinct()
-        links = cut_lineage(links, "links")
-    if not joined:
+        links, left = cut_lineage_counted(links, "links")
+    if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    result = joined[-1]
-    for step in reversed(joined[:-1]):
+    # From the last, smallest step back to the first, so every join has a small side.
+    result = steps.pop()
+    for step in reversed(steps):
         later = result.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        later = hinted(later, joined[joined.index(step) + 1].count())
         result = step.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
     return result
 
@@ -265,14 +266,14 @@ def spatial_clusters(
     roots = connected_components(_place_links(locations, places, link_deg, compare_limit))
     roots = cut_lineage(roots, "roots")
     seeds = roots.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("cluster_id"))
-    named = roots.join(hinted(seeds, seeds.count()), "root").select(F.col("node").alias("place"), "cluster_id")
+    named = roots.join(seeds, "root").select(F.col("node").alias("place"), "cluster_id")
     labels = cut_lineage(
         places.select("time", "row", "col", "place").join(named, "place", "left")
         .select("time", "row", "col", F.coalesce("cluster_id", "place").alias("cluster_id")),
         "cluster-labels",
     )
     cells = _with_cell(points.withColumn("time", F.col(time)), link_deg / math.sqrt(2) * (1 - SLACK))
-    return keyed_join(cells, hinted(labels, labels.count()), ["time", "row", "col"]).select(
+    return keyed_join(cells, labels, ["time", "row", "col"]).select(
         *points.columns, "cluster_id"
     )
 
@@ -360,6 +361,7 @@ def nearest_within(
         leaves = locations
     distance = separation(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude"))
     near = kept.drop("n").join(leaves, keys).withColumn("distance", distance).filter(F.col("distance") < radius)
-    return near.groupBy("probe").agg(F.min(F.struct("distance", "loc")).alias("hit")).select(
+    order = F.struct(F.round("distance", TIE_DECIMALS).alias("tie"), "loc", "distance")
+    return near.groupBy("probe").agg(F.min(order).alias("hit")).select(
         F.col("probe").alias(probe_id), F.col("hit.loc").alias(point_id), F.col("hit.distance").alias("distance")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number
-from plumetrics.session import BROADCAST_ROWS, cut_lineage
+from plumetrics.session import cut_lineage, cut_lineage_counted
 
 DIRECT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -35,11 +35,6 @@ def quartiles_of(column: str, prefix: str) -> dict[str, tuple[str, float]]:
     return {f"{prefix}_q1": (column, 0.25), f"{prefix}_q3": (column, 0.75)}
 
 
-def hinted(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only a table counted to be small; otherwise leave the join to the planner."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on null-safe equality of ``keys`` (a missing key is a group of its own), keys kept once."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -70,12 +65,11 @@ def group_summary(
         return df.agg(*aggregates).withColumns({name: row[name] for name in quantiles})
 
     hot = df.groupBy(*keys).count().filter(F.col("count") > direct_limit).drop("count")
-    if hot.isEmpty():
+    hot, n_hot = cut_lineage_counted(hot, "hot-groups")
+    if not n_hot:
         return df.groupBy(*keys).agg(*aggregates, *direct)
-    hot = cut_lineage(hot, "hot-groups")
-    hot_side = hinted(hot, hot.count())
-    cold_rows = keyed_join(df, hot_side, keys, "left_anti")
-    hot_rows = keyed_join(df, hot_side, keys, "left_semi")
+    cold_rows = keyed_join(df, hot, keys, "left_anti")
+    hot_rows = keyed_join(df, hot, keys, "left_semi")
     picked = _banded(hot_rows, keys, quantiles, accuracy)
     base = hot_rows.groupBy(*keys).agg(*aggregates) if aggregates else hot
     hot_result = keyed_join(base, picked, keys, "left")
@@ -136,11 +130,10 @@ def _banded(df: DataFrame, keys: list[str], quantiles: QuantileSpec, accuracy: i
         for i, p in enumerate(probabilities)
     ]))
     bands = cut_lineage(sketched.select(*group, "n", band.alias("b")).select(*group, "n", "b.*"), "bands")
-    small = hinted(bands, bands.count())
 
     zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
     counted = (
-        keyed_join(values, small, group)
+        keyed_join(values, bands, group)
         .select(*group, "p", "n", zone.alias("zone"), F.when(zone == 1, F.col("v")).alias("v"))
         .groupBy(*group, "p", "n", "zone", "v")
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from plumetrics.functions.scalars import number
 from plumetrics.functions.tails import f_upper, t_quantile, t_two_sided
-from plumetrics.operators.quantiles import group_summary, hinted, keyed_join
+from plumetrics.operators.quantiles import group_summary, keyed_join
 from plumetrics.session import cut_lineage
 
 INTERCEPT = "(Intercept)"
@@ -96,7 +96,7 @@ class LinearFit:
         complete = df.dropna(subset=[self.y, *self.xs])
         if self.by:
             wide = cut_lineage(wide, "coefficients")
-            scored = keyed_join(complete, hinted(wide, wide.count()), self.by)
+            scored = keyed_join(complete, wide, self.by)
             beta = [F.col(f"_b{i}") for i in range(len(self.xs) + 1)]
         else:
             scored = complete

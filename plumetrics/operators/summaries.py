@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
-from plumetrics.operators.quantiles import banded_quantiles, group_summary, hinted, keyed_join
+from plumetrics.operators.quantiles import banded_quantiles, group_summary, keyed_join
 from plumetrics.session import cut_lineage
 
 # The range shown when there is no data at all.
@@ -40,12 +40,11 @@ def boxplot_stats(df: DataFrame, key: str, value: str, **options) -> DataFrame:
         {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}, **options,
     )
     hinges = cut_lineage(hinges, "hinges")
-    small = hinted(hinges, hinges.count())
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     rows = df.select(key, value)
     return (
-        keyed_join(rows, small, [key])
+        keyed_join(rows, hinges, [key])
         .groupBy(key, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

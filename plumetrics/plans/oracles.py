@@ -13,6 +13,9 @@ from plumetrics.plans.pipelines import (
     SEASON_SCALING,
 )
 
+# Columns whose values have seven or more exact decimals; six would round on exact halves.
+FINE = {"Daily_SIF_757nm": 9, "sif_median": 9, "sif_std": 9, "sif_q1": 9, "sif_q3": 9, "xco2_ppm": 9}
+
 SITE_NAME = "printf('Customer#%09d', {})"
 
 
@@ -51,6 +54,7 @@ def _hemisphere(season: str) -> str:
 
 
 def _r(expr: str, name: str | None = None, digits: int = 6) -> str:
+    digits = FINE.get(name or expr.split(".")[-1], digits)
     return f"round({expr}, {digits}) + 0.0 AS {name or expr.split('.')[-1]}"
 
 
@@ -279,7 +283,7 @@ def _inference(digits: int = 6, wide: int = 6, group: str = "") -> str:
 
 def _fit_statistics(k: int) -> str:
     f = f"((tss - rss) / {k} / (rss / df))"
-    return f"SELECT n, 0::BIGINT AS n_dropped, {k + 1}::BIGINT AS model_rank, df::BIGINT AS df_residual, " \
+    return f"SELECT n, (SELECT count(*) FROM impact) - n AS n_dropped, {k + 1}::BIGINT AS model_rank, df::BIGINT AS df_residual, " \
            f"{_r('sqrt(rss / df)', 'sigma')}, {_r('1 - rss / tss', 'r_squared')}, " \
            f"{_r('1 - (rss / tss) * (n - 1) / df', 'adj_r_squared')}, {_r(f, 'f_statistic')}, {k}::BIGINT AS df_model, " \
            f"{_r(_tail('f', str(k), 'df'), 'p_value')} FROM (SELECT *, {f} AS f FROM fitted)"
@@ -303,6 +307,21 @@ def _interaction() -> str:
     return _with(_inference(), "season_table", extra=extra)
 
 
+def _interaction_fit() -> str:
+    """Fit statistics of the pooled model: residuals add up over the seasons."""
+    k = len(SEASON_PREDICTORS)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in ("xco2_iqr", *SEASON_PREDICTORS))
+    total = f"(SELECT count(*) AS n_all, var_samp(xco2_iqr) FILTER ({complete}) * (count(*) FILTER ({complete}) - 1) AS tss " \
+            "FROM season_table)"
+    pooled = f"(SELECT sum(n)::BIGINT AS n, count(*) * {k + 1} AS rank, sum(df)::BIGINT AS df, sum(rss) AS rss FROM fitted)"
+    body = f"SELECT n, n_all - n AS n_dropped, rank AS model_rank, df AS df_residual, {_r('sqrt(rss / df)', 'sigma')}, " \
+           f"{_r('1 - rss / tss', 'r_squared')}, {_r('1 - (rss / tss) * (n - 1) / df', 'adj_r_squared')}, " \
+           f"{_r('f', 'f_statistic')}, rank - 1 AS df_model, {_r(_tail('f', '(rank - 1)', 'df'), 'p_value')} FROM (SELECT *, " \
+           f"(tss - rss) / (rank - 1) / (rss / df) AS f FROM {pooled}, {total})"
+    fits = _least_squares("season_table", "xco2_iqr", SEASON_PREDICTORS, "season").split(", terms AS")[0]
+    return _with(body, "season_table", extra=fits)
+
+
 def _links() -> str:
     """Linked places by comparing all points of a timestamp; only the grid is shared with the query."""
     side = 0.08 / math.sqrt(2) * (1 - 1e-9)
@@ -331,9 +350,11 @@ def _sql() -> dict[str, str]:
     residual_cells = ", ".join(_r(quantile.format(p), n) for n, p in zip(
         ("res_min", "res_q1", "res_median", "res_q3", "res_max"), (0, 0.25, 0.5, 0.75, 1)))
     residual_complete = " AND ".join(f"{c} IS NOT NULL" for c in ("xco2_iqr", *SEASON_PREDICTORS))
-    lines = """lines AS (SELECT quadrant, regr_count(impact_iqr, coastal_km) AS n, regr_slope(impact_iqr, coastal_km) AS slope,
+    lines = """lines AS (SELECT quadrant, regr_count(impact_iqr, coastal_km)::BIGINT AS n, regr_slope(impact_iqr, coastal_km) AS slope,
         regr_intercept(impact_iqr, coastal_km) AS intercept, regr_r2(impact_iqr, coastal_km) AS r_squared,
-        min(coastal_km) AS x1, max(coastal_km) AS x2 FROM impact WHERE impact_iqr IS NOT NULL AND coastal_km IS NOT NULL
+        min(coastal_km) AS x1, max(coastal_km) AS x2, avg(coastal_km) AS mx,
+        regr_sxx(impact_iqr, coastal_km) AS sxx, sqrt((regr_syy(impact_iqr, coastal_km) - pow(regr_sxy(impact_iqr,
+        coastal_km), 2) / regr_sxx(impact_iqr, coastal_km)) / (count(*) - 2)) AS sigma FROM impact WHERE impact_iqr IS NOT NULL AND coastal_km IS NOT NULL
         GROUP BY 1 HAVING count(*) > 2 AND var_samp(coastal_km) > 0)"""
     three = _least_squares("impact", "impact_iqr", ("sif_iqr", "gdp_iqr", "coast_iqr"))
     step = "(size / 100.0::DOUBLE)"
@@ -489,7 +510,7 @@ def _sql() -> dict[str, str]:
             for c, n in (("latitude", "lat"), ("longitude", "lon")) for f, s in (("min", "-"), ("max", "+"))) +
             " FROM clustered GROUP BY 1", "clustered"),
         "nearest_within": _with(
-            f"SELECT probe_id, arg_min(p.point_id, (round(dist, 9), p.point_id)) AS point_id, {_r('min(dist)', 'distance')} FROM "
+            f"SELECT probe_id, arg_min(p.point_id, (round(dist, 12), p.point_id)) AS point_id, {_r('min(dist)', 'distance')} FROM "
             f"(SELECT q.probe_id, p.point_id, {DISTANCE.format('q', 'p')} AS dist FROM probes q JOIN points p ON "
             f"abs(q.latitude - p.latitude) < 0.5) p WHERE dist < 0.5 GROUP BY 1", "points",
             extra="probes AS (SELECT c_custkey AS probe_id, (c_custkey * 53) % 280 / 10 - 14 AS latitude, "
@@ -509,6 +530,7 @@ def _sql() -> dict[str, str]:
         "ols_fit": _with(_fit_statistics(len(IMPACT_PREDICTORS)), "impact", extra=impact_fit),
         "ols_by_season": _with(_inference(group="grp AS season, "), "season_table", extra=season_fit),
         "ols_interaction": _interaction(),
+        "ols_interaction_fit": _interaction_fit(),
         "ols_summer_north": _with(
             _inference(5, 2), "season_table",
             extra="summer AS (SELECT * FROM season_table WHERE season = 'Summer (North)'), "
@@ -528,6 +550,11 @@ def _sql() -> dict[str, str]:
             f"SELECT quadrant, step, n, {_r('slope')}, {_r('intercept')}, {_r('r_squared')}, "
             f"{_r('x1 + (x2 - x1) * step / 79', 'x')}, {_r('intercept + slope * (x1 + (x2 - x1) * step / 79)', 'fitted')} "
             "FROM lines, (SELECT unnest(range(0, 80)) AS step)", "impact", extra=lines),
+        "trend_band": _with(
+            f"SELECT quadrant, step, n, {_r('slope')}, {_r('intercept')}, {_r('r_squared')}, {_r('x')}, {_r('fit', 'fitted')}, "
+            f"{_r('fit - half', 'conf_low')}, {_r('fit + half', 'conf_high')} FROM (SELECT *, intercept + slope * x AS fit, "
+            f"{_t_critical('(n - 2)')} * sigma * sqrt(1 / n + pow(x - mx, 2) / sxx) AS half FROM (SELECT *, "
+            "x1 + (x2 - x1) * step / 79 AS x FROM lines, (SELECT unnest(range(0, 80)) AS step)))", "impact", extra=lines),
         "season_report": _with(
             f"SELECT season, short_season, hemisphere, {_r('r_squared')}, {_r('p', 'p_value')}, "
             f"{_r('CASE WHEN p > 0 THEN -log10(p) END', 'neg_log10_p')}, CASE WHEN p < 0.05 THEN 'Sig' ELSE 'Not Sig' END "

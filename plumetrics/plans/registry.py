@@ -29,13 +29,17 @@ TERM_NAMES = {
 GRID_TERMS = {"sif_iqr": "SIF", "pop_iqr": "Population", "coast_iqr": "Coast", "xco2_numsams_iqr": "xco2_numsams"}
 
 
+# Columns whose values have seven or more exact decimals; six would round on exact halves.
+FINE = {"Daily_SIF_757nm": 9, "sif_median": 9, "sif_std": 9, "sif_q1": 9, "sif_q3": 9, "xco2_ppm": 9}
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded (no negative zero), whole numbers as bigint, so results compare across engines."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, special.get(f.name, digits)) + F.lit(0.0)
+            c = F.round(c, special.get(f.name, FINE.get(f.name, digits))) + F.lit(0.0)
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("bigint")
         out.append(c.alias(f.name))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "plumetrics", master: str | None = None, **conf: object) -> SparkSession:
@@ -47,8 +46,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared scratch folder once and read it back.
 
-    Survives the loss of executors, computes the input once, and gives later joins true file sizes.
+    Survives the loss of executors, computes the input once, and gives later joins true file sizes: the
+    planner then broadcasts the table only if it is under the broadcast threshold.
     """
+    return cut_lineage_counted(df, label)[0]
+
+
+def cut_lineage_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """Like ``cut_lineage``, with the number of rows, counted while they are written."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
