@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CITY_YEAR = T.StructType.fromDDL(
-    "city string, xco2_ppm double, sif_757nm double, population double, gdp_bil_usd double, "
-    "annual_co2_em_mtco2 double, xco2_numsams bigint, sif_numsams bigint, coastal_km double, is_coastal string"
-)
-SITE_FILE = T.StructType.fromDDL(
-    "`Target.Name` string, `Site.Center.WKT` string, `Site.Shape.WKT` string, city string, country string, "
-    "population double, gdp_bil_usd double, coastal_km double, is_coastal string"
+TEXT, NUMBER, WHOLE = T.StringType(), T.DoubleType(), T.LongType()
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CITY_YEAR = _schema(
+    city=TEXT, xco2_ppm=NUMBER, sif_757nm=NUMBER, population=NUMBER, gdp_bil_usd=NUMBER, annual_co2_em_mtco2=NUMBER,
+    xco2_numsams=WHOLE, sif_numsams=WHOLE, coastal_km=NUMBER, is_coastal=TEXT,
 )
-NO2_FILE = T.StructType.fromDDL(
-    "`Target.Name` string, `.geo` string, `Site.Shape.WKT` string, lat double, lon double, city string, "
-    "country string, population double, gdp_bil_usd double, coastal_km double, is_coastal string, mean double, "
-    "date string"
+PLACE = dict(city=TEXT, country=TEXT, population=NUMBER, gdp_bil_usd=NUMBER, coastal_km=NUMBER, is_coastal=TEXT)
+SITE_FILE = _schema(**{"Target.Name": TEXT, "Site.Center.WKT": TEXT, "Site.Shape.WKT": TEXT}, **PLACE)
+NO2_FILE = _schema(
+    **{"Target.Name": TEXT, ".geo": TEXT, "Site.Shape.WKT": TEXT}, lat=NUMBER, lon=NUMBER, **PLACE, mean=NUMBER, date=TEXT
 )
 # The text form of soundings: everything is read as text, then passes the gate.
 SOUNDING_TEXT = T.StructType([
