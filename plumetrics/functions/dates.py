@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shape of the digits -> formats tried in this order, so 03-04-2020 is always 4 March.
-MIXED_DATE_FORMATS = {
-    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$": ("yyyy-M-d",),
-    r"^[0-9]{8}$": ("yyyyMMdd",),
-    r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$": ("M-d-yyyy", "d-M-yyyy"),
-    r"^[0-9]{4}-[0-9]{1,2}$": ("yyyy-M",),
-    r"^[0-9]{1,2}-[0-9]{4}$": ("M-yyyy",),
+YEAR_FIRST = "^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$"
+# Shape of the digits -> the same date with the year first. Month first wins unless the month would be over 12.
+REORDER = {
+    "^([0-9]{4})([0-9]{2})([0-9]{2})$": "$1-$2-$3",
+    "^(0?[0-9]|1[0-2])-([0-9]{1,2})-([0-9]{4})$": "$3-$1-$2",
+    "^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$": "$3-$2-$1",
+    "^([0-9]{1,2})-([0-9]{4})$": "$2-$1",
 }
 
 
@@ -39,10 +39,10 @@ def month_label(month: Column, long: bool = False) -> Column:
 def parse_mixed_date(text: Column) -> Column:
     """Date from year-month-day, month-day-year, day-month-year, year-month or month-year text.
 
-    Any run of separators counts as one. The order of preference is fixed, see MIXED_DATE_FORMATS.
+    Any run of separators counts as one. The preference is fixed, so 03-04-2020 is always 4 March.
     """
     plain = F.regexp_replace(F.trim(text), "[^0-9]+", "-")
-    date = F.when(plain == "", None)
-    for shape, formats in MIXED_DATE_FORMATS.items():
-        date = date.when(plain.rlike(shape), F.coalesce(*[F.try_to_date(plain, f) for f in formats]))
-    return date
+    iso = F.when(plain.rlike(YEAR_FIRST), plain)
+    for shape, year_first in REORDER.items():
+        iso = iso.when(plain.rlike(shape), F.regexp_replace(plain, shape, year_first))
+    return iso.try_cast("date")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number
-from plumetrics.session import cut_lineage, cut_lineage_counted
+from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 DIRECT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -68,6 +68,9 @@ def group_summary(
     hot, n_hot = cut_lineage_counted(hot, "hot-groups")
     if not n_hot:
         return df.groupBy(*keys).agg(*aggregates, *direct)
+    # There are fewer hot groups than rows / direct_limit. Broadcasting them keeps the rows of a hot group
+    # spread over the tasks that read them.
+    hot = broadcast_if_small(hot, n_hot)
     cold_rows = keyed_join(df, hot, keys, "left_anti")
     hot_rows = keyed_join(df, hot, keys, "left_semi")
     picked = _banded(hot_rows, keys, quantiles, accuracy)
@@ -129,7 +132,9 @@ def _banded(df: DataFrame, keys: list[str], quantiles: QuantileSpec, accuracy: i
         )
         for i, p in enumerate(probabilities)
     ]))
-    bands = cut_lineage(sketched.select(*group, "n", band.alias("b")).select(*group, "n", "b.*"), "bands")
+    bands = broadcast_if_small(*cut_lineage_counted(
+        sketched.select(*group, "n", band.alias("b")).select(*group, "n", "b.*"), "bands"
+    ))
 
     zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
     counted = (

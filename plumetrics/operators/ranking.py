@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from plumetrics.functions.dates import month_label
 from plumetrics.operators.quantiles import group_summary, keyed_join
+from plumetrics.session import cut_lineage
 
 # Fixed value: points kept per month.
 SAMPLE_SIZE = 12_000
-RANK_BUCKET = 1_000_000
 
 
 def top_k(df: DataFrame, by: Sequence[str], score: Column, k: int, ties: Sequence[str]) -> DataFrame:
@@ -54,20 +54,16 @@ def month_timeline(months: DataFrame, month: str = "month") -> DataFrame:
     )
 
 
-def systematic_sample(
-    df: DataFrame, by: str, order: str, n: int = SAMPLE_SIZE, bucket_rows: int = RANK_BUCKET
-) -> DataFrame:
+def systematic_sample(df: DataFrame, by: str, order: str, n: int = SAMPLE_SIZE) -> DataFrame:
     """Rows at positions floor(i * size / n) of each group, all rows when the group has at most ``n``.
 
-    ``order`` is a unique whole number giving the position of a row. A group is ranked in pieces, ranges of
-    ``order``, so no task sees a whole group; the sizes of earlier pieces are added afterwards.
+    ``order`` is unique and gives the position of a row. Positions are found on the two columns alone: they are
+    range-partitioned into even pieces, rows are numbered within a piece, and the sizes of the earlier pieces of
+    the group are added. So no task sees a whole group, and wide rows are only read again to be picked.
     """
-    span = df.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(order).alias("n"))
-    ends = span.select(F.struct("first", "last", "n")).scalar()
-    width = F.greatest(
-        F.lit(float(bucket_rows)), (ends["last"] - ends["first"] + 1).cast("double") * bucket_rows / ends["n"]
-    )
-    pieces = df.withColumn("piece", F.floor((F.col(order) - ends["first"]) / width))
+    ranges = df.select(by, order).repartitionByRange(by, order)
+    # Written down, because the piece of a row must not change between its uses.
+    pieces = cut_lineage(ranges.withColumn("piece", F.spark_partition_id()), "pieces")
     group = Window.partitionBy(by)
     earlier = group.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy(by, "piece").agg(F.count(F.lit(1)).alias("rows")).select(
@@ -86,4 +82,5 @@ def systematic_sample(
     for shift in (-1, 0, 1):
         i = guess + shift
         hit = hit | (i.between(0, n - 1) & (F.floor(i * step) == F.col("place")))
-    return ranked.filter((F.col("size") <= n) | hit).drop("piece", "offset", "size", "place")
+    picked = ranked.filter((F.col("size") <= n) | hit).select(order)
+    return df.join(picked, order, "left_semi")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from plumetrics.functions.scalars import number
 from plumetrics.functions.tails import f_upper, t_quantile, t_two_sided
 from plumetrics.operators.quantiles import group_summary, keyed_join
-from plumetrics.session import cut_lineage
+from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 INTERCEPT = "(Intercept)"
 # A predictor is aliased when earlier ones explain all but this share of its variation.
@@ -95,7 +95,7 @@ class LinearFit:
         )
         complete = df.dropna(subset=[self.y, *self.xs])
         if self.by:
-            wide = cut_lineage(wide, "coefficients")
+            wide = broadcast_if_small(*cut_lineage_counted(wide, "coefficients"))
             scored = keyed_join(complete, wide, self.by)
             beta = [F.col(f"_b{i}") for i in range(len(self.xs) + 1)]
         else:
@@ -200,7 +200,7 @@ def _solve(row: dict, k: int):
     mean = np.asarray(row["means"], dtype=float)
     a = _matrix(row, k) * (n - 1) if n > 1 else np.zeros((k + 1, k + 1))
     tss = a[k, k]
-    kept = _eliminate(a, np.diag(a) .copy(), range(k)) if n > 1 else []
+    kept = _eliminate(a, np.diag(a).copy(), range(k)) if n > 1 else []
     rss, rank = max(a[k, k], 0.0), len(kept) + 1
     df_resid = n - rank
     inverse = -a[np.ix_(kept, kept)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
 from plumetrics.operators.quantiles import banded_quantiles, group_summary, keyed_join
-from plumetrics.session import cut_lineage
+from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 # The range shown when there is no data at all.
 EMPTY_RANGE = (380.0, 450.0)
@@ -39,7 +39,7 @@ def boxplot_stats(df: DataFrame, key: str, value: str, **options) -> DataFrame:
         df, [key], [F.count(value).alias("n")],
         {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}, **options,
     )
-    hinges = cut_lineage(hinges, "hinges")
+    hinges = broadcast_if_small(*cut_lineage_counted(hinges, "hinges"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     rows = df.select(key, value)

@@ -453,7 +453,7 @@ def reorder_levels(spark, d):
 def systematic_sample(spark, d):
     points = _city_points(spark, d).select("sounding_id", "month", "latitude", "longitude", "xco2")
     # The test tables hold fewer points per month than the usual 12000; the size is a parameter.
-    return ranking.systematic_sample(points, "month", "sounding_id", n=100, bucket_rows=1000)
+    return ranking.systematic_sample(points, "month", "sounding_id", n=100)
 
 
 @query

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# A table counted to have at most this many rows is sent whole to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 def build_session(app_name: str = "plumetrics", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the library is tuned for; ``conf`` keys use ``__`` for dots."""
@@ -58,3 +61,8 @@ def cut_lineage_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame,
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a narrow table known to be small; beyond that leave the join, and its skew, to the planner."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
