@@ -42,6 +42,11 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(other, match, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """``df`` with the single row of another frame as a struct column: one scalar subquery, no join."""
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+
+
 def group_summary(
     df: DataFrame,
     keys: Sequence[str],
@@ -61,8 +66,7 @@ def group_summary(
         picked = _banded(df, keys, quantiles, accuracy)
         if not aggregates:
             return picked
-        row = picked.select(F.struct(*quantiles)).scalar()
-        return df.agg(*aggregates).withColumns({name: row[name] for name in quantiles})
+        return with_row(df.agg(*aggregates), picked, "picked").select("*", "picked.*").drop("picked")
 
     hot = df.groupBy(*keys).count().filter(F.col("count") > direct_limit).drop("count")
     hot, n_hot = cut_lineage_counted(hot, "hot-groups")

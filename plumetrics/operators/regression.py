@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from plumetrics.functions.scalars import number
 from plumetrics.functions.tails import f_upper, t_quantile, t_two_sided
-from plumetrics.operators.quantiles import group_summary, keyed_join
+from plumetrics.operators.quantiles import group_summary, keyed_join, with_row
 from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 INTERCEPT = "(Intercept)"
@@ -97,11 +97,9 @@ class LinearFit:
         if self.by:
             wide = broadcast_if_small(*cut_lineage_counted(wide, "coefficients"))
             scored = keyed_join(complete, wide, self.by)
-            beta = [F.col(f"_b{i}") for i in range(len(self.xs) + 1)]
         else:
-            scored = complete
-            row = wide.select(F.struct(*wide.columns)).scalar()
-            beta = [row[f"_b{i}"] for i in range(len(self.xs) + 1)]
+            scored = with_row(complete, wide, "_row").select("*", "_row.*").drop("_row")
+        beta = [F.col(f"_b{i}") for i in range(len(self.xs) + 1)]
         fitted = beta[0]
         for b, x in zip(beta[1:], self.xs):
             fitted = fitted + b * F.col(x)

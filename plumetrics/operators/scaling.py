@@ -11,10 +11,10 @@ from plumetrics.functions.scalars import number
 from plumetrics.operators.quantiles import QuantileSpec, quantile_row, quartiles_of
 
 
-def with_table_quantiles(df: DataFrame, quantiles: QuantileSpec, **options) -> dict[str, Column]:
-    """Columns holding whole-table quantiles of ``df``, as one scalar subquery (no join)."""
-    row = quantile_row(df, quantiles, **options).select(F.struct(*quantiles)).scalar()
-    return {name: row[name] for name in quantiles}
+def table_quantiles(df: DataFrame, quantiles: QuantileSpec, **options) -> dict[str, Column]:
+    """Whole-table quantiles of ``df`` as constants: computed once, then free in every query that uses them."""
+    row = quantile_row(df, quantiles, **options).first()
+    return {name: F.lit(row[name]).cast("double") for name in quantiles}
 
 
 def iqr_norm(columns: Mapping[str, str], **options) -> Callable[[DataFrame], DataFrame]:
@@ -24,7 +24,7 @@ def iqr_norm(columns: Mapping[str, str], **options) -> Callable[[DataFrame], Dat
         wanted: dict[str, tuple[str, float]] = {}
         for column in sorted(set(columns.values())):
             wanted.update(quartiles_of(column, column))
-        q = with_table_quantiles(df, wanted, **options)
+        q = table_quantiles(df, wanted, **options)
         return df.withColumns({
             out: F.try_divide(number(c) - q[f"{c}_q1"], q[f"{c}_q3"] - q[f"{c}_q1"])
             for out, c in columns.items()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
-from plumetrics.operators.quantiles import banded_quantiles, group_summary, keyed_join
+from plumetrics.operators.quantiles import banded_quantiles, group_summary, keyed_join, with_row
 from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 # The range shown when there is no data at all.
@@ -21,10 +21,8 @@ def robust_range(df: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame
     Raw soundings are one huge group, so the two-pass quantiles are always used.
     """
     tails = banded_quantiles(df, [], {"p05": (value, 0.05), "p95": (value, 0.95)}, accuracy)
-    tail = tails.select(F.struct("p05", "p95")).scalar()
-    ends = df.agg(F.min(number(value)).alias("lo"), F.max(number(value)).alias("hi")).withColumns(
-        {"p05": tail["p05"], "p95": tail["p95"]}
-    )
+    ends = with_row(df.agg(F.min(number(value)).alias("lo"), F.max(number(value)).alias("hi")), tails, "t")
+    ends = ends.select("lo", "hi", "t.*")
     inner, flat = F.col("p95") > F.col("p05"), F.col("hi") <= F.col("lo")
     low = F.when(inner, F.col("p05")).when(flat, F.col("lo") - 1).otherwise(F.col("lo"))
     high = F.when(inner, F.col("p95")).when(flat, F.col("hi") + 1).otherwise(F.col("hi"))

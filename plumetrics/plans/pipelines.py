@@ -10,7 +10,7 @@ from plumetrics.functions.dates import calendar_parts, local_hour, parse_mixed_d
 from plumetrics.functions.scalars import number
 from plumetrics.operators.quantiles import group_summary, keyed_join
 from plumetrics.operators.relational import join_present, union_by_name
-from plumetrics.operators.scaling import iqr_norm, with_table_quantiles
+from plumetrics.operators.scaling import iqr_norm, table_quantiles
 from plumetrics.operators.summaries import monthly_mean
 from plumetrics.session import cut_lineage
 
@@ -107,7 +107,7 @@ def impact_table(city_year: DataFrame, **options) -> DataFrame:
 def with_upper_quartile_quadrant(city_year: DataFrame, **options) -> DataFrame:
     """Quadrant of every city by the third quartiles of concentration and emissions over all cities."""
     cities = cut_lineage(city_year, "cities")
-    q = with_table_quantiles(
+    q = table_quantiles(
         cities, {"conc_q3": ("xco2_ppm", 0.75), "em_q3": ("annual_co2_em_mtco2", 0.75)}, **options
     )
     return cities.withColumn("quadrant", labels.upper_quartile_quadrant(
@@ -117,7 +117,7 @@ def with_upper_quartile_quadrant(city_year: DataFrame, **options) -> DataFrame:
 
 def with_split_quadrant(table: DataFrame, **options) -> DataFrame:
     """Median-split quadrant and coastal status of a scaled table."""
-    q = with_table_quantiles(table, {"sif": ("sif_iqr", 0.5), "co2": ("xco2_iqr", 0.5)}, **options)
+    q = table_quantiles(table, {"sif": ("sif_iqr", 0.5), "co2": ("xco2_iqr", 0.5)}, **options)
     return table.withColumns({
         "quadrant": labels.split_quadrant(F.col("sif_iqr"), F.col("xco2_iqr"), q["sif"], q["co2"]),
         "coastal_status": labels.coastal_status(F.col("coastal_km")),

@@ -393,8 +393,8 @@ def q3_quadrant(spark, d):
 @query
 def intensity(spark, d):
     obs = xco2_obs(spark, d).filter(F.col("xco2").isNotNull())
-    ends = summaries.robust_range(obs, "xco2").select(F.struct("low", "high")).scalar()
-    return obs.select("sounding_id", rescale(F.col("xco2"), ends["low"], ends["high"]).alias("intensity"))
+    ranged = quantiles.with_row(obs, summaries.robust_range(obs, "xco2"), "ends")
+    return ranged.select("sounding_id", rescale(F.col("xco2"), F.col("ends.low"), F.col("ends.high")).alias("intensity"))
 
 
 @query
