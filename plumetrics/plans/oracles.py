@@ -222,20 +222,22 @@ def _tail(f: str, d1: str, d2: str) -> str:
     width = f"least(pi() / 2 - {start}, 12 / sqrt({d2}))"
     weight = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
     angle = f"({start} + {width} * i / {n})"
-    height = f"exp(({d1} - 1) * ln(sin({angle})) + ({d2} - 1) * ln(cos({angle})) + ln(2.0) + lgamma(({d1} + {d2}) / 2.0) " \
+    height = f"exp(({d1} - 1) * ln(sin({angle})) + ({d2} - 1) * ln(greatest(cos({angle}), 1e-300)) + ln(2.0) + lgamma(({d1} + {d2}) / 2.0) " \
              f"- lgamma({d1} / 2.0) - lgamma({d2} / 2.0))"
     return f"CASE WHEN {f} > 0 THEN {width} / {n} / 3 * list_sum(list_transform(range(0, {n} + 1), lambda i: {weight} * {height})) " \
            f"WHEN {f} = 0 THEN 1.0 END"
 
 
 def _t_critical(df: str) -> str:
-    """0.975 quantile of t by its expansion around the normal quantile (many degrees of freedom)."""
+    """0.975 quantile of t: expansion around the normal quantile, then one Newton step."""
     z = 1.959963984540054
     g1 = (z**3 + z) / 4
     g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
-    return f"({z!r} + {g1!r} / {df} + {g2!r} / pow({df}, 2) + {g3!r} / pow({df}, 3) + {g4!r} / pow({df}, 4))"
+    t = f"({z!r} + {g1!r} / {df} + {g2!r} / pow({df}, 2) + {g3!r} / pow({df}, 3) + {g4!r} / pow({df}, 4))"
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * pow(1 + {t} * {t} / {df}, -({df} + 1) / 2.0)"
+    return f"({t} + ({_tail(f'({t} * {t})', '1', df)} - 0.05) / (2 * {density}))"
 
 
 def _least_squares(source: str, y: str, xs: tuple[str, ...], by: str | None = None) -> str:
