@@ -33,7 +33,9 @@ def month_start(ts: Column) -> Column:
 
 
 def month_label(month: Column, long: bool = False) -> Column:
-    return F.date_format(month.cast("timestamp_ntz"), "MMMM yyyy" if long else "MMM yyyy")
+    # Formatting goes through the session's zone; at noon no zone changes the day.
+    noon = month.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
+    return F.date_format(noon, "MMMM yyyy" if long else "MMM yyyy")
 
 
 def parse_mixed_date(text: Column) -> Column:

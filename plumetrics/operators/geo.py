@@ -286,9 +286,8 @@ def cluster_stats(clustered: DataFrame, time: str, point_id: str, value: str) ->
         seed.alias("seed"), F.count(F.lit(1)).alias("n_points"), F.avg(value).alias("mean_val"),
         low.alias("local_min"), high.alias("local_max"),
     )
-    stamp = F.date_format("seed.time", "yyyy-MM-dd HH:mm:ss")
     key = F.concat_ws(
-        KEY_SEPARATOR, stamp, F.coalesce("seed.city", F.lit("")), F.coalesce("seed.country", F.lit("")),
+        KEY_SEPARATOR, F.col("seed.time").cast("string"), F.coalesce("seed.city", F.lit("")), F.coalesce("seed.country", F.lit("")),
         F.concat(F.lit("cluster"), F.col("cluster_id").cast("string")),
     )
     return stats.select(

@@ -98,7 +98,8 @@ def sif_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def no2_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NO2 rows with dates written in five ways."""
-    ts = F.col("l_shipdate")
+    # Formatting goes through the session's zone; at noon no zone changes the day.
+    ts = F.col("l_shipdate") + F.make_dt_interval(hours=F.lit(12))
     styles = ["yyyy-MM-dd", "MM/dd/yyyy", None, "yyyy-MM", "MM/yyyy"]
     which = F.col("l_orderkey") % 5
     date = F.when(which == 0, F.date_format(ts, styles[0])).when(which == 1, F.date_format(ts, styles[1]))
@@ -144,7 +145,7 @@ def cluster_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows as soundings; a timestamp is a day."""
     user, event = F.col("user_id"), F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        event.alias("point_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("datetime"),
+        event.alias("point_id"), F.col("ts").cast("date").cast("timestamp_ntz").alias("datetime"),
         ((user % 15) * 2 - 14 + (event % 9) * 0.05).alias("latitude"),
         ((user % 10) * 3 + (event % 11) * 0.05).alias("longitude"),
         F.col("value").alias("xco2"), F.concat(F.lit("City "), (user % 40).cast("string")).alias("city"),
@@ -155,13 +156,13 @@ def cluster_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The soundings as text, with blanks, junk and two ways to write a time."""
     k = F.col("sounding_id")
-    stamp = F.when(k % 31 == 0, "soon").when(
-        k % 3 == 0, F.date_format("local_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    ).when(
-        k % 3 == 1, F.concat(F.date_format("local_time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
-    ).otherwise(F.date_format("local_time", "yyyy-MM-dd HH:mm:ss"))
+    clock = F.col("local_time").cast("string")
+    iso = F.replace(clock, F.lit(" "), F.lit("T"))
+    stamp = F.when(k % 31 == 0, "soon").when(k % 3 == 0, F.concat(iso, F.lit("Z"))).when(
+        k % 3 == 1, F.concat(iso, F.lit("+05:30"))
+    ).otherwise(clock)
     return xco2_obs(spark, sf_dir).select(
-        k, stamp.alias("datetime"), F.date_format("local_time", "HH:mm").alias("local_time"),
+        k, stamp.alias("datetime"), F.substring(clock, 12, 5).alias("local_time"),
         F.when(k % 29 == 0, "").otherwise(F.format_string("%.1f", "latitude")).alias("latitude"),
         F.when(k % 37 == 0, "NaN").otherwise(F.format_string(" %.1f", "longitude")).alias("longitude"),
         F.when(k % 41 == 0, "Infinity").when(k % 43 == 0, F.format_string("%.2fppm", "xco2"))
