@@ -1,10 +1,10 @@
 """Exact quantiles (linear interpolation at (n - 1) p) that hold up when one group owns most rows.
 
 Spark's ``percentile`` keeps every distinct value of a group in the memory of one task. That is right for
-groups of bounded size, so group sizes are counted first. Groups beyond ``direct_limit`` rows take a second
-way: a mergeable sketch gives, per wanted probability, a narrow band of values that must contain the wanted
-ranks; a second pass counts what lies below the band and keeps only the distinct values inside it. No raw row
-of such a group is ever shuffled, and the result is still exact.
+groups of bounded size, so group sizes are counted first. Groups beyond ``direct_limit`` rows are narrowed
+instead: counts per bin, which add up on the map side and spread over all reducers, show which bin holds a
+wanted rank; only the values of that bin are looked at next, until few enough are left to order them. No raw
+row of such a group is ever shuffled before that, and counts are exact, so the result is.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number
-from plumetrics.session import broadcast_if_small, cut_lineage_counted
+from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 DIRECT_LIMIT = 1_000_000
-SKETCH_ACCURACY = 10_000
-# Half width of the band in sketch errors; the sketch promises one.
-BAND_ERRORS = 4
+# Narrowing: bins per round, and the number of values that are ordered at last.
+BINS = 4096
+IN_HAND = 1_000_000
+GREATEST = 1.7976931348623157e308
 
 # output name -> (column, probability)
 QuantileSpec = Mapping[str, tuple[str, float]]
@@ -53,7 +54,8 @@ def group_summary(
     aggregates: Sequence[Column] = (),
     quantiles: QuantileSpec | None = None,
     direct_limit: int = DIRECT_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
+    bins: int = BINS,
+    in_hand: int = IN_HAND,
 ) -> DataFrame:
     """One row per group with ``aggregates`` and exact ``quantiles``; ``keys`` may be empty."""
     keys = list(keys)
@@ -63,7 +65,7 @@ def group_summary(
     if not keys:
         if df.count() <= direct_limit:
             return df.agg(*aggregates, *direct)
-        picked = _banded(df, keys, quantiles, accuracy)
+        picked = narrowed_quantiles(df, keys, quantiles, bins, in_hand)
         if not aggregates:
             return picked
         return with_row(df.agg(*aggregates), picked, "picked").select("*", "picked.*").drop("picked")
@@ -77,7 +79,7 @@ def group_summary(
     hot = broadcast_if_small(hot, n_hot)
     cold_rows = keyed_join(df, hot, keys, "left_anti")
     hot_rows = keyed_join(df, hot, keys, "left_semi")
-    picked = _banded(hot_rows, keys, quantiles, accuracy)
+    picked = narrowed_quantiles(hot_rows, keys, quantiles, bins, in_hand)
     base = hot_rows.groupBy(*keys).agg(*aggregates) if aggregates else hot
     hot_result = keyed_join(base, picked, keys, "left")
     return cold_rows.groupBy(*keys).agg(*aggregates, *direct).unionByName(hot_result)
@@ -88,16 +90,6 @@ def quantile_row(df: DataFrame, quantiles: QuantileSpec, **options) -> DataFrame
     return group_summary(df, [], (), quantiles, **options)
 
 
-def banded_quantiles(
-    df: DataFrame, keys: Sequence[str], quantiles: QuantileSpec, accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """The two-pass way for every group, without looking at sizes first.
-
-    Groups in which every value is missing are absent from the result when there are keys.
-    """
-    return _banded(df, list(keys), quantiles, accuracy)
-
-
 def _direct_columns(quantiles: QuantileSpec) -> list[Column]:
     wanted: dict[str, list[float]] = {}
     for column, p in quantiles.values():
@@ -109,9 +101,16 @@ def _direct_columns(quantiles: QuantileSpec) -> list[Column]:
     ]
 
 
-def _banded(df: DataFrame, keys: list[str], quantiles: QuantileSpec, accuracy: int) -> DataFrame:
+def narrowed_quantiles(
+    df: DataFrame, keys: Sequence[str], quantiles: QuantileSpec, bins: int = BINS, in_hand: int = IN_HAND
+) -> DataFrame:
+    """Quantiles by narrowing for every group, without looking at sizes first.
+
+    Groups in which every value is missing are absent from the result when there are keys.
+    """
+    keys = list(keys)
     columns = sorted({column for column, _ in quantiles.values()})
-    probabilities = sorted({p for _, p in quantiles.values()})
+    probabilities = sorted({float(p) for _, p in quantiles.values()})
     series = F.explode(F.array(*[
         F.struct(F.lit(i).alias("series"), number(c).alias("v")) for i, c in enumerate(columns)
     ]))
@@ -120,52 +119,67 @@ def _banded(df: DataFrame, keys: list[str], quantiles: QuantileSpec, accuracy: i
     )
     group = [*keys, "series"]
 
-    margin = BAND_ERRORS / accuracy
-    edges = [F.lit(min(1.0, max(0.0, p + side))) for p in probabilities for side in (-margin, margin)]
-    sketched = values.groupBy(*group).agg(
-        F.count("v").alias("n"), F.percentile_approx("v", F.array(*edges), accuracy).alias("edge")
+    # One row per wanted rank: the range of values it lies in, and how many values lie below and inside.
+    at = (F.col("n") - 1) * F.col("p")
+    whole = values.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranks = (
+        whole.select("*", F.explode(F.array(*map(F.lit, probabilities))).alias("p"))
+        .select("*", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
+        .select(*group, "n", "p", "rank", "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
     )
-    # Below this size a sketch error is less than a rank or two: take the whole group as the band.
-    whole = F.col("n") <= 10 * accuracy
-    infinity = float("inf")
-    band = F.explode(F.array(*[
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(whole | F.lit(p - margin <= 0), -infinity).otherwise(F.col("edge")[2 * i]).alias("low"),
-            F.when(whole | F.lit(p + margin >= 1), infinity).otherwise(F.col("edge")[2 * i + 1]).alias("high"),
+    ranks, n_ranks = cut_lineage_counted(ranks, "ranks")
+    # A range too short to cut holds a handful of distinct values at most.
+    wide = (F.col("inside") > in_hand) & (_half("high") - _half("low") > 0)
+    while not ranks.filter(wide).isEmpty():
+        open_ranks = ranks.filter(wide)
+        counts = (
+            _within(values, open_ranks, group, n_ranks).withColumn("bin", _bin(bins))
+            .groupBy(*group, "low", "high", "bin")
+            .agg(F.count(F.lit(1)).alias("copies"), F.min("v").alias("to_low"), F.max("v").alias("to_high"))
         )
-        for i, p in enumerate(probabilities)
-    ]))
-    bands = broadcast_if_small(*cut_lineage_counted(
-        sketched.select(*group, "n", band.alias("b")).select(*group, "n", "b.*"), "bands"
-    ))
-
-    zone = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
-    counted = (
-        keyed_join(values, bands, group)
-        .select(*group, "p", "n", zone.alias("zone"), F.when(zone == 1, F.col("v")).alias("v"))
-        .groupBy(*group, "p", "n", "zone", "v")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        moved = _holding(open_ranks, counts, group, "bin").select(
+            *group, "n", "p", "rank", F.col("to_low").alias("low"), F.col("to_high").alias("high"),
+            (F.col("below") + F.col("upto") - F.col("copies")).alias("below"), F.col("copies").alias("inside"),
+        )
+        ranks = cut_lineage(ranks.filter(~wide).unionByName(moved), "ranks")
+
+    counts = _within(values, ranks, group, n_ranks).groupBy(*group, "low", "high", "v").agg(
+        F.count(F.lit(1)).alias("copies")
     )
-    upto = Window.partitionBy(*group, "p").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("copies").over(upto))
-    at = (F.col("n") - 1) * F.col("p")
-    picked = ranked.groupBy(*group, "p").agg(
-        _value_at(F.floor(at)).alias("below"),
-        _value_at(F.ceil(at)).alias("above"),
-        F.max(at - F.floor(at)).alias("part"),
+    found = _holding(ranks, counts, group, "v").groupBy(*group, "n", "p").agg(
+        F.max(F.when(F.col("rank") == F.floor(at), F.col("v"))).alias("x0"),
+        F.max(F.when(F.col("rank") == F.ceil(at), F.col("v"))).alias("x1"),
     )
-    value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
-    result = F.when(F.col("below") == F.col("above"), F.col("below")).otherwise(value)
-    spread = picked.withColumn("value", result)
-    return spread.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("series") == columns.index(c)) & (F.col("p") == p), F.col("value"))).alias(name)
+    between = F.col("x0") + (F.col("x1") - F.col("x0")) * (at - F.floor(at))
+    valued = found.withColumn("value", F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(between))
+    return valued.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("series") == columns.index(c)) & (F.col("p") == float(p)), F.col("value"))).alias(name)
         for name, (c, p) in quantiles.items()
     ])
 
 
-def _value_at(rank: Column) -> Column:
-    """The value holding a 0-based rank; fails loudly should the rank lie outside the band."""
-    holds = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("copies"))
-    outside = F.raise_error(F.lit("quantile rank outside its band; raise the sketch accuracy"))
-    return F.max(F.when(holds, F.when(F.col("zone") == 1, F.col("v")).otherwise(outside.cast("double"))))
+def _within(values: DataFrame, ranks: DataFrame, group: list[str], n_ranks: int) -> DataFrame:
+    """Values inside the ranges of the wanted ranks; a range shared by several ranks counts once."""
+    ranges = broadcast_if_small(ranks.select(*group, "low", "high").distinct(), n_ranks)
+    return keyed_join(values, ranges, group).filter(F.col("v").between(F.col("low"), F.col("high")))
+
+
+def _half(column: str) -> Column:
+    """Half of a value: differences of halves stay finite, infinite values included."""
+    return F.greatest(F.lit(-GREATEST), F.least(F.lit(GREATEST), F.col(column))) / 2
+
+
+def _bin(bins: int) -> Column:
+    """Bin of ``v`` between ``low`` and ``high``; the two ends never share one."""
+    part = (_half("v") - _half("low")) / (_half("high") - _half("low"))
+    return F.least(F.lit(bins - 1), F.floor(part * bins))
+
+
+def _holding(ranks: DataFrame, counts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Each wanted rank with the bin or value that holds it."""
+    upto = Window.partitionBy(*group, "low", "high").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = counts.withColumn("upto", F.sum("copies").over(upto))
+    holds = (F.col("rank") < F.col("below") + F.col("upto")) & (
+        F.col("rank") >= F.col("below") + F.col("upto") - F.col("copies")
+    )
+    return keyed_join(ranks, ordered, [*group, "low", "high"]).filter(holds)

@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
-from plumetrics.operators.quantiles import banded_quantiles, group_summary, keyed_join, with_row
+from plumetrics.operators.quantiles import group_summary, keyed_join, narrowed_quantiles, with_row
 from plumetrics.session import broadcast_if_small, cut_lineage_counted
 
 # The range shown when there is no data at all.
 EMPTY_RANGE = (380.0, 450.0)
 
 
-def robust_range(df: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame:
+def robust_range(df: DataFrame, value: str) -> DataFrame:
     """One row (low, high): p05/p95, else min/max when not increasing, else +-1 when still flat.
 
-    Raw soundings are one huge group, so the two-pass quantiles are always used.
+    Raw soundings are one huge group, so its quantiles are always found by narrowing.
     """
-    tails = banded_quantiles(df, [], {"p05": (value, 0.05), "p95": (value, 0.95)}, accuracy)
+    tails = narrowed_quantiles(df, [], {"p05": (value, 0.05), "p95": (value, 0.95)})
     ends = with_row(df.agg(F.min(number(value)).alias("lo"), F.max(number(value)).alias("hi")), tails, "t")
     ends = ends.select("lo", "hi", "t.*")
     inner, flat = F.col("p95") > F.col("p05"), F.col("hi") <= F.col("lo")

@@ -48,7 +48,7 @@ def test_summary_before_join_equals_join_before_summary(frame, repeat_site, limi
     want = {tuple(r[k] for k in keys): (r.xm, r.xs, r.n, r.sm, r.ss) for r in row_level(obs, sif, site).collect()}
     got = {
         tuple(r[k] for k in keys): (r.xco2_median, r.xco2_std, r.xco2_n, r.sif_median, r.sif_std)
-        for r in pipelines.site_season_summary(obs, sif, site, direct_limit=limit, accuracy=50).collect()
+        for r in pipelines.site_season_summary(obs, sif, site, direct_limit=limit, bins=7, in_hand=5).collect()
     }
     assert got.keys() == want.keys()
     for k in want:

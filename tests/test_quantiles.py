@@ -44,10 +44,10 @@ def close(got, want):
 
 
 @pytest.mark.parametrize("limit", [10**6, 100, 5, 0])
-def test_grouped_quantiles_direct_and_banded(frame, limit):
+def test_grouped_quantiles_direct_and_narrowed(frame, limit):
     data = rows()
     df = frame(data, "k string, v double, w double")
-    got = quantiles.group_summary(df, ["k"], [F.count(F.lit(1)).alias("n")], P, direct_limit=limit, accuracy=50)
+    got = quantiles.group_summary(df, ["k"], [F.count(F.lit(1)).alias("n")], P, direct_limit=limit, bins=7, in_hand=20)
     result = {r.k: (r.q1, r.m, r.q3, r.p90) for r in got.collect()}
     close(result, expected(data))
     assert {r.k: r.n for r in got.collect()}["hot"] == 3000
@@ -57,30 +57,42 @@ def test_grouped_quantiles_direct_and_banded(frame, limit):
 def test_whole_table_quantiles(frame, limit):
     data = rows(2)
     df = frame(data, "k string, v double, w double")
-    r = quantiles.group_summary(df, [], [F.count(F.lit(1)).alias("n")], P, direct_limit=limit, accuracy=50).first()
+    r = quantiles.group_summary(df, [], [F.count(F.lit(1)).alias("n")], P, direct_limit=limit, bins=7, in_hand=20).first()
     close({1: (r.q1, r.m, r.q3, r.p90)}, expected([(1, v, w) for _, v, w in data]))
     assert r.n == len(data)
 
 
-def test_band_covers_ranks_of_long_columns(frame, spark):
-    df = spark.range(200_000).select(F.xxhash64("id").cast("double").alias("v"), (F.col("id") % 3).alias("w"))
-    r = quantiles.banded_quantiles(df, [], {f"p{p}": ("v", p / 100) for p in (0, 1, 5, 25, 50, 95, 100)}, 100).first()
-    values = df.toPandas()["v"].to_numpy()
+@pytest.mark.parametrize("bins,in_hand", [(4096, 1000), (16, 10), (2, 1)])
+def test_narrowing_finds_every_rank(spark, bins, in_hand):
+    n = 20_000 if bins > 2 else 300
+    # Two far clusters, an outlier, many copies of one value.
+    v = F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 3 == 1, F.rand(1)).otherwise(1e6 + F.rand(2))
+    df = spark.range(n).select(F.when(F.col("id") == 5, 1e300).otherwise(v).alias("v")).cache()
+    want = df.toPandas()["v"].to_numpy()
+    spec = {f"p{p}": ("v", p / 100) for p in (0, 1, 5, 25, 50, 95, 100)}
+    r = quantiles.narrowed_quantiles(df, [], spec, bins, in_hand).first()
     for p in (0, 1, 5, 25, 50, 95, 100):
-        assert r[f"p{p}"] == pytest.approx(np.quantile(values, p / 100), rel=1e-12)
+        assert r[f"p{p}"] == pytest.approx(np.quantile(want, p / 100), rel=1e-12)
+
+
+def test_narrowing_with_infinite_values(frame):
+    values = [float("-inf"), -1.0, 0.0, 1.0, 2.0, float("inf"), float("inf")]
+    df = frame([(v,) for v in values], "v double")
+    r = quantiles.narrowed_quantiles(df, [], {"a": ("v", 0.0), "m": ("v", 0.5), "z": ("v", 1.0)}, 2, 1).first()
+    assert tuple(r) == (float("-inf"), 1.0, float("inf"))
 
 
 def test_empty_input(frame):
     df = frame([], "k string, v double, w double")
     assert quantiles.group_summary(df, ["k"], [], P).count() == 0
     for limit in (10, -1):
-        assert tuple(quantiles.quantile_row(df, P, direct_limit=limit, accuracy=50).first()) == (None,) * 4
+        assert tuple(quantiles.quantile_row(df, P, direct_limit=limit, bins=7, in_hand=20).first()) == (None,) * 4
 
 
 def test_iqr_norm_maps_quartiles_to_zero_and_one(frame):
     df = frame([(float(i), 4.0, None if i % 9 == 0 else i * i * 1.0) for i in range(101)], "a double, flat double, b double")
     for limit in (10**6, 10):
-        out = df.transform(scaling.iqr_norm({"an": "a", "fn": "flat", "bn": "b"}, direct_limit=limit, accuracy=50))
+        out = df.transform(scaling.iqr_norm({"an": "a", "fn": "flat", "bn": "b"}, direct_limit=limit, bins=7, in_hand=20))
         r = out.agg(F.percentile("an", F.lit(0.25)), F.percentile("an", F.lit(0.75)), F.percentile("bn", F.lit(0.25)),
                     F.percentile("bn", F.lit(0.75)), F.count("fn")).first()
         assert tuple(r) == pytest.approx((0, 1, 0, 1, 0))
