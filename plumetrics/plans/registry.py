@@ -96,6 +96,23 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(clustered, "clustered")
 
 
+def _text_folder(spark: SparkSession, d: str) -> str:
+    """The text soundings written as CSV files, as they would arrive."""
+    folder = scratch_path(spark, "sounding-text")
+    text = standins.sounding_text(spark, d).repartition(4, "sounding_id")
+    text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(folder)
+    return folder
+
+
+TEXT_STREAM = T.StructType([T.StructField("sounding_id", T.LongType()), *schemas.SOUNDING_TEXT.fields])
+
+
+def _text_soundings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.schema(TEXT_STREAM).option("header", True).csv(_text_folder(spark, d))
+
+
 # Scans and sources.
 
 @query
@@ -115,12 +132,12 @@ def scan_parquet(spark, d):
 
 @query
 def ingest_gate(spark, d):
-    return readers.ingest_gate(standins.sounding_text(spark, d))
+    return readers.ingest_gate(_text_soundings(spark, d))
 
 
 @query
 def ingest_tally(spark, d):
-    return readers.ingest_tally(standins.sounding_text(spark, d))
+    return readers.ingest_tally(_text_soundings(spark, d))
 
 
 @query
@@ -633,19 +650,6 @@ def significance_grid(spark, d):
 
 # Streaming.
 
-def _text_folder(spark: SparkSession, d: str) -> str:
-    """The text soundings written as CSV files, as they would arrive."""
-    folder = scratch_path(spark, "sounding-text")
-    text = standins.sounding_text(spark, d).repartition(4, "sounding_id")
-    text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(folder)
-    return folder
-
-
-TEXT_STREAM = T.StructType([T.StructField("sounding_id", T.LongType()), *schemas.SOUNDING_TEXT.fields])
-
-
 @query
 def stream_ingest(spark, d):
     target, checkpoint = ingest.scratch_pair(spark, "ingested")
