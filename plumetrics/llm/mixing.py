@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumetrics.llm.common import numbered
+from plumetrics.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+PORTION = 2 << 20
 # Expected copies are whole multiples of 2^-32, so that prefix sums are exact.
 UNIT = 1 << 32
 
@@ -21,7 +23,7 @@ UNIT = 1 << 32
 def word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns as they are, with ``text`` replaced by ``size``, its number of words between ASCII white space.
 
-    Works on the bytes of a whole batch: a word begins at a byte that is no white space and stands first in its text
+    Works on the bytes of many texts at once: a word begins at a byte that is no white space and stands first in its text
     or behind white space.
     """
     space = np.zeros(256, bool)
@@ -31,21 +33,22 @@ def word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if column.offset:
             column = pa.concat_arrays([column])
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1)
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-        if len(data):
-            gap = space[data]
-            begins = ~gap
-            begins[1:] &= gap[:-1]
-            first = offsets[:-1][offsets[:-1] < offsets[1:]]
-            begins[first] = ~gap[first]
-            sums = np.concatenate(([0], np.cumsum(begins)))
-            size = sums[offsets[1:]] - sums[offsets[:-1]]
-        else:
-            size = np.zeros(len(column), np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        size, first = np.zeros(len(column), np.int64), 0
+        while first < len(column):
+            # Whole texts of about PORTION bytes at a time.
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PORTION, side="right")) - 1)
+            own = offsets[first: last + 1] - offsets[first]
+            gap = space[data[offsets[first]: offsets[last]]]
+            if len(gap):
+                begins = ~gap
+                begins[1:] &= gap[:-1]
+                head = own[:-1][own[:-1] < own[1:]]
+                begins[head] = ~gap[head]
+                size[first:last] = np.diff(np.searchsorted(np.flatnonzero(begins), own))
+            first = last
         rest = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in rest), pa.array(size.astype(np.int64))], names=[*rest, "size"]
-        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(size)], names=[*rest, "size"])
 
 
 def sized(docs: DataFrame, carry: Sequence[str], text: str = "text") -> DataFrame:
@@ -96,7 +99,9 @@ def mix(
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
                        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    placed = numbered(sized(read, [c for c in read.columns if c != "text"]), ["source"], ["size", "doc_id"], "sizes")
+    # Written once, as the range partitioning reads its input twice.
+    sizes = cut_lineage(sized(read, [c for c in read.columns if c != "text"]), "sizes")
+    placed = numbered(sizes, ["source"], ["size", "doc_id"], "places")
     goals = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     rate = F.when(
         F.col("source_size") > 0,
