@@ -221,9 +221,10 @@ def send_contexts(buckets: int, length: int, anchor: int):
                 part, known = np.flatnonzero((bucket == k) & ~later), np.flatnonzero((bucket == k) & later)
                 if len(part):
                     done = np.stack([keys[number[known]], start[known], start[known] + windows[known] + length - 1], axis=1)
+                    names, at = np.unique(number[part], return_inverse=True)
                     row = (k, b"".join([stretch[i] for i in part.tolist()]), windows[part].astype(np.uint8).tobytes(),
-                           start[part].astype(np.uint32).tobytes(), number[part].astype(np.uint32).tobytes(),
-                           docs.tobytes(), keys.tobytes(), done.astype(np.int64).tobytes())
+                           start[part].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(),
+                           docs[names].tobytes(), keys[names].tobytes(), done.astype(np.int64).tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row[0]], pa.int32()), *(pa.array([v], pa.binary()) for v in row[1:])], names=list(CONTEXT_NAMES))
 
