@@ -60,10 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by a mark; n_chars follows the text."""
     found = secret_scan.scan(docs)
-    clean = secret_scan.redacted(F.col("text"), F.col("found"))
-    changed = F.size("found") > 0
-    length = F.when(changed, F.char_length(clean).cast("bigint")).otherwise(F.col("n_chars").cast("bigint"))
-    return found.select("doc_id", clean.alias("text"), "lang", "source",
+    clean = found.withColumn("_clean", secret_scan.redacted(F.col("text"), F.col("found")))
+    length = F.when(F.size("found") > 0, F.char_length("_clean").cast("bigint")).otherwise(F.col("n_chars").cast("bigint"))
+    return clean.select("doc_id", F.col("_clean").alias("text"), "lang", "source",
                         length.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
