@@ -11,6 +11,8 @@ KEY_SEPARATOR = "|||"
 NUMBER_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
 # Text that starts with a year; a bare clock time is no date.
+# White space and Unicode spaces, byte order mark included.
+SPACES = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 DATED = r"^[0-9]{4}"
 # A clock time that ends in Z or in a zone offset such as +02:00 or -0330.
 ZONED = r"[0-9]:[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})$"
@@ -31,9 +33,14 @@ def finite_or_null(value: Column) -> Column:
     return F.when(is_finite(value), value)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends: blanks, line ends, tabs, and the spaces of Unicode."""
+    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+
+
 def clean_text(value: Column, fallback: str = "") -> Column:
     """Trimmed text; missing or blank text becomes ``fallback``."""
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(fallback))
+    return F.coalesce(F.nullif(trimmed(value), F.lit("")), F.lit(fallback))
 
 
 def composite_key(*parts: Column) -> Column:
@@ -42,7 +49,7 @@ def composite_key(*parts: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Text to double, taking the leading number ("12abc" is 12); NULL when there is none."""
-    return F.regexp_extract(F.trim(text), NUMBER_PREFIX, 0).try_cast("double")
+    return F.regexp_extract(trimmed(text), NUMBER_PREFIX, 0).try_cast("double")
 
 
 def parse_time(text: Column) -> Column:
@@ -50,9 +57,9 @@ def parse_time(text: Column) -> Column:
 
     Text without a zone is read as UTC, whatever the zone of the session.
     """
-    trimmed = F.trim(text)
-    suffix = F.when(trimmed.rlike(ZONED), "").when(trimmed.contains(":"), "Z").otherwise("T00:00:00Z")
-    dated = F.when(trimmed.rlike(DATED), F.concat(trimmed, suffix))
+    plain = trimmed(text)
+    suffix = F.when(plain.rlike(ZONED), "").when(plain.contains(":"), "Z").otherwise("T00:00:00Z")
+    dated = F.when(plain.rlike(DATED), F.concat(plain, suffix))
     instant = dated.try_cast("timestamp")
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumetrics.functions.scalars import KEY_SEPARATOR, widen_if_flat
+from plumetrics.functions.scalars import KEY_SEPARATOR, is_finite, widen_if_flat
 from plumetrics.operators.quantiles import keyed_join
 from plumetrics.session import cut_lineage, cut_lineage_counted
 
@@ -105,9 +105,13 @@ def _neighbour_columns(target_row: Column, reach_from: Column, side: float, limi
     return F.floor((F.col("lon1") - reach) / width), F.floor((F.col("lon2") + reach) / width)
 
 
+def _placed() -> Column:
+    return is_finite(F.col("latitude")) & is_finite(F.col("longitude"))
+
+
 def located(points: DataFrame, time: str, point_id: str, link_deg: float = LINK_DEG) -> DataFrame:
-    """Distinct locations per timestamp with their smallest point id and grid cell."""
-    distinct = points.groupBy(F.col(time).alias("time"), "latitude", "longitude").agg(F.min(point_id).alias("loc"))
+    """Distinct locations per timestamp with their smallest point id and grid cell; only finite coordinates count."""
+    distinct = points.filter(_placed()).groupBy(F.col(time).alias("time"), "latitude", "longitude").agg(F.min(point_id).alias("loc"))
     return _with_cell(distinct, link_deg / math.sqrt(2) * (1 - SLACK))
 
 
@@ -259,7 +263,8 @@ def spatial_clusters(
 ) -> DataFrame:
     """``points`` with ``cluster_id``: connected groups of points of one timestamp within ``link_deg``.
 
-    The id is the smallest point id of the cluster, so it does not depend on the order of the input.
+    The id is the smallest point id of the cluster, so it does not depend on the order of the input. Points whose
+    coordinates are missing, NaN or infinite belong to no cluster: their id is NULL.
     """
     locations = located(points, time, point_id, link_deg)
     places = cut_lineage(_boxes(locations, "time", "row", "col", extra=(F.min("loc").alias("place"),)), "places")
@@ -272,17 +277,17 @@ def spatial_clusters(
         .select("time", "row", "col", F.coalesce("cluster_id", "place").alias("cluster_id")),
         "cluster-labels",
     )
-    cells = _with_cell(points.withColumn("time", F.col(time)), link_deg / math.sqrt(2) * (1 - SLACK))
-    return keyed_join(cells, labels, ["time", "row", "col"]).select(
-        *points.columns, "cluster_id"
-    )
+    cells = _with_cell(
+        points.filter(_placed()).withColumn("time", F.col(time)), link_deg / math.sqrt(2) * (1 - SLACK))
+    inside = keyed_join(cells, labels, ["time", "row", "col"]).select(*points.columns, "cluster_id")
+    return inside.unionByName(points.filter(~_placed()).withColumn("cluster_id", F.lit(None).cast(inside.schema["cluster_id"].dataType)))
 
 
 def cluster_stats(clustered: DataFrame, time: str, point_id: str, value: str) -> DataFrame:
     """Key, seed place, point count, mean and value range (moved out by 0.01 when under 0.02) per cluster."""
     low, high = widen_if_flat(F.min(value), F.max(value), 0.02, 0.01)
     seed = F.min_by(F.struct(F.col(time).alias("time"), "city", "country"), point_id)
-    stats = clustered.groupBy("cluster_id").agg(
+    stats = clustered.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
         seed.alias("seed"), F.count(F.lit(1)).alias("n_points"), F.avg(value).alias("mean_val"),
         low.alias("local_min"), high.alias("local_max"),
     )
@@ -312,12 +317,12 @@ def nearest_within(
     Goes down a grid from cells of the radius' size: per probe, cells that cannot hold the nearest point are
     dropped at every level, until the cells left hold few locations.
     """
-    locations = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).groupBy(
+    locations = points.filter(_placed()).groupBy(
         "latitude", "longitude"
     ).agg(F.min(point_id).alias("loc"))
     locations = cut_lineage(_with_cell(locations, radius), "locations")
 
-    asked = probes.select(F.col(probe_id).alias("probe"), F.col("latitude").alias("p_lat"),
+    asked = probes.filter(_placed()).select(F.col(probe_id).alias("probe"), F.col("latitude").alias("p_lat"),
                           F.col("longitude").alias("p_lon"))
     box = {"lat1": "p_lat", "lat2": "p_lat", "lon1": "p_lon", "lon2": "p_lon"}
     reaching = asked.withColumns({k: F.col(v) for k, v in box.items()}).select(

@@ -150,7 +150,8 @@ def narrowed_quantiles(
         F.max(F.when(F.col("rank") == F.floor(at), F.col("v"))).alias("x0"),
         F.max(F.when(F.col("rank") == F.ceil(at), F.col("v"))).alias("x1"),
     )
-    between = F.col("x0") + (F.col("x1") - F.col("x0")) * (at - F.floor(at))
+    # The form that ``percentile`` uses, so both ways agree, infinite and very large values included.
+    between = (F.ceil(at) - at) * F.col("x0") + (at - F.floor(at)) * F.col("x1")
     valued = found.withColumn("value", F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(between))
     return valued.groupBy(*keys).agg(*[
         F.max(F.when((F.col("series") == columns.index(c)) & (F.col("p") == float(p)), F.col("value"))).alias(name)

@@ -99,8 +99,8 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
 def _text_folder(spark: SparkSession, d: str) -> str:
     """The text soundings written as CSV files, as they would arrive."""
     folder = scratch_path(spark, "sounding-text")
-    text = standins.sounding_text(spark, d).repartition(4, "sounding_id")
-    text.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+    text = standins.sounding_text(spark, d)
+    text.write.option("header", True).option("maxRecordsPerFile", 100_000).option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(folder)
     return folder
@@ -126,8 +126,7 @@ def scan_csv_city(spark, d):
 
 @query
 def scan_parquet(spark, d):
-    scan = readers.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
-    return scan.filter(F.col("o_custkey") >= 100)
+    return readers.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
 
 
 @query
