@@ -47,6 +47,11 @@ def coastal_status(coastal_km: Column) -> Column:
     return F.when(coastal_km < COASTAL_KM, "Coastal").when(coastal_km >= COASTAL_KM, "Inland")
 
 
+def coast_shape(coastal: Column) -> Column:
+    """Shape of a point by its coastal flag; missing stays missing."""
+    return F.when(coastal, "Coastal").when(~coastal, "Inland")
+
+
 def split_quadrant(sif: Column, co2: Column, sif_threshold: Column, co2_threshold: Column) -> Column:
     """Four labels by position above or not above two thresholds; missing stays missing."""
     label = F.when(sif.isNull() | co2.isNull(), None)

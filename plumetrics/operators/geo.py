@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumetrics.functions.scalars import KEY_SEPARATOR, is_finite, widen_if_flat
+from plumetrics.functions.scalars import KEY_SEPARATOR, is_finite, number, widen_if_flat
 from plumetrics.operators.quantiles import keyed_join
 from plumetrics.session import cut_lineage, cut_lineage_counted
 
@@ -29,6 +29,7 @@ LEAF_LOCATIONS = 64
 TIE_DECIMALS = 12
 SLACK = 1e-9
 WIDEST_REACH = 1080.0
+WIDEST_LONGITUDE = WIDEST_REACH / 2
 
 
 def separation(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
@@ -106,7 +107,11 @@ def _neighbour_columns(target_row: Column, reach_from: Column, side: float, limi
 
 
 def _placed() -> Column:
-    return is_finite(F.col("latitude")) & is_finite(F.col("longitude"))
+    """True for finite coordinates; a longitude that the reach of cells does not cover fails the job."""
+    finite = is_finite(F.col("latitude")) & is_finite(F.col("longitude"))
+    beyond = finite & (F.abs("longitude") > WIDEST_LONGITUDE)
+    message = F.concat(F.lit("longitude out of range: "), F.col("longitude").cast("string"))
+    return F.when(beyond, F.raise_error(message).cast("boolean")).otherwise(finite)
 
 
 def located(points: DataFrame, time: str, point_id: str, link_deg: float = LINK_DEG) -> DataFrame:
@@ -123,7 +128,7 @@ def proximity_links(
     A place is a grid cell in which any two points are within ``link_deg``; it goes by its smallest point id.
     Together with "same place" the links span exactly the clusters that all point pairs would give.
     """
-    locations = located(points, time, point_id, link_deg)
+    locations = cut_lineage(located(points, time, point_id, link_deg), "locations")
     places = cut_lineage(_boxes(locations, "time", "row", "col", extra=(F.min("loc").alias("place"),)), "places")
     return _place_links(locations, places, link_deg, compare_limit)
 
@@ -266,7 +271,7 @@ def spatial_clusters(
     The id is the smallest point id of the cluster, so it does not depend on the order of the input. Points whose
     coordinates are missing, NaN or infinite belong to no cluster: their id is NULL.
     """
-    locations = located(points, time, point_id, link_deg)
+    locations = cut_lineage(located(points, time, point_id, link_deg), "locations")
     places = cut_lineage(_boxes(locations, "time", "row", "col", extra=(F.min("loc").alias("place"),)), "places")
     roots = connected_components(_place_links(locations, places, link_deg, compare_limit))
     roots = cut_lineage(roots, "roots")
@@ -285,10 +290,10 @@ def spatial_clusters(
 
 def cluster_stats(clustered: DataFrame, time: str, point_id: str, value: str) -> DataFrame:
     """Key, seed place, point count, mean and value range (moved out by 0.01 when under 0.02) per cluster."""
-    low, high = widen_if_flat(F.min(value), F.max(value), 0.02, 0.01)
+    low, high = widen_if_flat(F.min(number(value)), F.max(number(value)), 0.02, 0.01)
     seed = F.min_by(F.struct(F.col(time).alias("time"), "city", "country"), point_id)
     stats = clustered.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
-        seed.alias("seed"), F.count(F.lit(1)).alias("n_points"), F.avg(value).alias("mean_val"),
+        seed.alias("seed"), F.count(F.lit(1)).alias("n_points"), F.avg(number(value)).alias("mean_val"),
         low.alias("local_min"), high.alias("local_max"),
     )
     key = F.concat_ws(

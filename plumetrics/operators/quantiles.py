@@ -56,15 +56,24 @@ def group_summary(
     direct_limit: int = DIRECT_LIMIT,
     bins: int = BINS,
     in_hand: int = IN_HAND,
+    stored: bool = False,
 ) -> DataFrame:
-    """One row per group with ``aggregates`` and exact ``quantiles``; ``keys`` may be empty."""
+    """One row per group with ``aggregates`` and exact ``quantiles``; ``keys`` may be empty.
+
+    ``df`` should hold few columns beside those used: it is written to the scratch folder once (``stored`` tells that
+    it already is such a table), so the work behind it is not repeated for each of the readings that follow.
+    """
     keys = list(keys)
     if not quantiles:
         return df.groupBy(*keys).agg(*aggregates)
     direct = _direct_columns(quantiles)
+    if not aggregates:
+        df = df.select(*dict.fromkeys([*keys, *[column for column, _ in quantiles.values()]]))
+    df, n_rows = (df, df.count()) if stored else cut_lineage_counted(df, "summary-input")
+    # No group is larger than the table.
+    if n_rows <= direct_limit:
+        return df.groupBy(*keys).agg(*aggregates, *direct)
     if not keys:
-        if df.count() <= direct_limit:
-            return df.agg(*aggregates, *direct)
         picked = narrowed_quantiles(df, keys, quantiles, bins, in_hand)
         if not aggregates:
             return picked

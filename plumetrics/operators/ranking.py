@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumetrics.functions.dates import month_label
 from plumetrics.operators.quantiles import group_summary, keyed_join
-from plumetrics.session import cut_lineage
+from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 # Fixed value: points kept per month.
 SAMPLE_SIZE = 12_000
@@ -82,5 +82,6 @@ def systematic_sample(df: DataFrame, by: str, order: str, n: int = SAMPLE_SIZE)
     for shift in (-1, 0, 1):
         i = guess + shift
         hit = hit | (i.between(0, n - 1) & (F.floor(i * step) == F.col("place")))
-    picked = ranked.filter((F.col("size") <= n) | hit).select(order)
+    # At most n rows a group; sent whole while their bytes are few, so the wide rows need no shuffle.
+    picked = broadcast_if_small(*cut_lineage_counted(ranked.filter((F.col("size") <= n) | hit).select(order), "picked"))
     return df.join(picked, order, "left_semi")

@@ -140,8 +140,8 @@ class LinearFit:
 
 def trend_band(df: DataFrame, x: str, y: str, by: str, level: float = 0.95, points: int = GRID_POINTS) -> DataFrame:
     """Straight-line fit per group on an even grid over the group's x range, with its confidence band."""
-    xv = F.when(F.col(y).isNotNull(), F.col(x))
-    yv = F.when(F.col(x).isNotNull(), F.col(y))
+    xv = F.when(number(y).isNotNull(), number(x))
+    yv = F.when(number(x).isNotNull(), number(y))
     lines = df.groupBy(by).agg(
         F.regr_count(yv, xv).alias("n"), F.regr_slope(yv, xv).alias("slope"),
         F.regr_intercept(yv, xv).alias("intercept"), F.regr_r2(yv, xv).alias("r_squared"),

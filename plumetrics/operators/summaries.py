@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
-from plumetrics.operators.quantiles import group_summary, keyed_join, narrowed_quantiles, with_row
-from plumetrics.session import broadcast_if_small, cut_lineage_counted
+from plumetrics.operators.quantiles import group_summary, keyed_join, narrowed_quantiles
+from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 # The range shown when there is no data at all.
 EMPTY_RANGE = (380.0, 450.0)
@@ -20,9 +20,10 @@ def robust_range(df: DataFrame, value: str) -> DataFrame:
 
     Raw soundings are one huge group, so its quantiles are always found by narrowing.
     """
-    tails = narrowed_quantiles(df, [], {"p05": (value, 0.05), "p95": (value, 0.95)})
-    ends = with_row(df.agg(F.min(number(value)).alias("lo"), F.max(number(value)).alias("hi")), tails, "t")
-    ends = ends.select("lo", "hi", "t.*")
+    values = cut_lineage(df.select(number(value).alias(value)), "range-values")
+    ends = narrowed_quantiles(values, [], {
+        "lo": (value, 0.0), "p05": (value, 0.05), "p95": (value, 0.95), "hi": (value, 1.0),
+    })
     inner, flat = F.col("p95") > F.col("p05"), F.col("hi") <= F.col("lo")
     low = F.when(inner, F.col("p05")).when(flat, F.col("lo") - 1).otherwise(F.col("lo"))
     high = F.when(inner, F.col("p95")).when(flat, F.col("hi") + 1).otherwise(F.col("hi"))
@@ -33,14 +34,14 @@ def robust_range(df: DataFrame, value: str) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, key: str, value: str, **options) -> DataFrame:
     """Hinges, whiskers (furthest values within 1.5 IQR of the hinges) and outlier count per group."""
+    rows = df.select(key, number(value).alias(value))
     hinges = group_summary(
-        df, [key], [F.count(value).alias("n")],
+        rows, [key], [F.count(value).alias("n")],
         {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}, **options,
     )
     hinges = broadcast_if_small(*cut_lineage_counted(hinges, "hinges"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = df.select(key, value)
     return (
         keyed_join(rows, hinges, [key])
         .groupBy(key, "n", "q1", "median", "q3")
@@ -54,7 +55,7 @@ def boxplot_stats(df: DataFrame, key: str, value: str, **options) -> DataFrame:
 
 def monthly_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean and count of ``value`` per ``keys``; partial sums leave little to shuffle."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n_points"))
+    return df.groupBy(*keys).agg(F.avg(number(value)).alias("mean_value"), F.count(F.lit(1)).alias("n_points"))
 
 
 def series_extent(monthly: DataFrame, key: str, month: str = "month", value: str = "mean_value") -> DataFrame:

@@ -484,7 +484,7 @@ def _sql() -> dict[str, str]:
             "series"),
         "scatter_frame": _with(
             f"SELECT city, {_r('co2_em_iqr')}, {_r('co2_conc_iqr')}, quadrant, {_r('population / 1e6', 'population_m')}, "
-            "CASE WHEN is_coastal = 'True' THEN 'Coastal' ELSE 'Inland' END AS shape, CASE WHEN quadrant IN "
+            "CASE is_coastal WHEN 'True' THEN 'Coastal' WHEN 'False' THEN 'Inland' END AS shape, CASE WHEN quadrant IN "
             "('LOW_emissions_HIGH_conc', 'HIGH_emissions_LOW_conc') THEN city END AS label FROM impact", "impact"),
         "topk_extremes": _with(f"SELECT target_name, season, time_of_day, quadrant, {_r('sif_iqr')}, {_r('xco2_iqr')}, rank "
                                "FROM extremes WHERE rank <= 6", "extremes"),
@@ -507,6 +507,9 @@ def _sql() -> dict[str, str]:
                                f"{_r('local_min')}, {_r('local_max')} FROM stats", "stats"),
         "cluster_members": _with(f"SELECT point_id, cluster_id, cluster_key, n_points, {_r('mean_val')} FROM clustered JOIN "
                                  "(SELECT cluster_id, cluster_key, n_points, mean_val FROM stats) USING (cluster_id)", "stats"),
+        "local_intensity": _with(
+            f"SELECT point_id, cluster_id, {_r('greatest(0.0, least(1.0, (xco2 - local_min) / (local_max - local_min)))', 'local_intensity')} "
+            "FROM clustered JOIN (SELECT cluster_id, local_min, local_max FROM stats) USING (cluster_id)", "stats"),
         "cluster_bbox": _with("SELECT cluster_id, " + ", ".join(
             f"{_r(f'{f}({c}) {s} greatest((max({c}) - min({c})) * 0.15, 0.01)', f'{n}_{f}')}"
             for c, n in (("latitude", "lat"), ("longitude", "lon")) for f, s in (("min", "-"), ("max", "+"))) +

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,77 +127,106 @@ def with_split_quadrant(table: DataFrame, **options) -> DataFrame:
 
 
 MONTH_KEYS = ("target_name", "year", "month")
-# Stand for a missing key while tables are grouped and joined, so plain equality pairs them
-# and the joins can use the partitioning the groupings leave behind.
-NO_NAME, NO_NUMBER = "<missing>", -1
+# Keys without missing values while tables are grouped and joined: plain equality pairs them, so the joins can use
+# the partitioning the groupings leave behind. A flag tells a missing name from an empty one; no month is 0.
+_JOIN_KEYS = ("target_name", "nameless", "year", "month")
 
 
 def _month_keys(ts: Column) -> list[Column]:
     parts = calendar_parts(ts)
     return [
-        F.coalesce("target_name", F.lit(NO_NAME)).alias("target_name"),
-        *[F.coalesce(parts[k], F.lit(NO_NUMBER)).alias(k) for k in ("year", "month")],
+        F.coalesce("target_name", F.lit("")).alias("target_name"), F.isnull("target_name").alias("nameless"),
+        *[F.coalesce(parts[k], F.lit(0)).alias(k) for k in ("year", "month")],
     ]
 
 
 def _restore_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "target_name": F.nullif("target_name", F.lit(NO_NAME)),
-        **{k: F.nullif(k, F.lit(NO_NUMBER)) for k in ("year", "month")},
-    })
+        "target_name": F.when(~F.col("nameless"), F.col("target_name")),
+        **{k: F.when(F.col("month") != 0, F.col(k)) for k in ("year", "month")},
+    }).drop("nameless")
 
 
-def monthly_xco2(xco2: DataFrame, **options) -> DataFrame:
-    """Per site and month: latitude of the first sounding in time, median and number of values present."""
+def _xco2_by_month(xco2: DataFrame, **options) -> DataFrame:
     rows = xco2.select(*_month_keys(F.col("datetime")), "datetime", "sounding_id", "latitude", number("xco2").alias("xco2"))
     return group_summary(
-        rows, MONTH_KEYS,
+        rows, _JOIN_KEYS,
         [F.min_by("latitude", F.struct("datetime", "sounding_id")).alias("latitude"), F.count("xco2").alias("xco2_n")],
         {"xco2_median": ("xco2", 0.5)}, **options,
     )
 
 
-def monthly_sif(sif: DataFrame, **options) -> DataFrame:
+def _sif_by_month(sif: DataFrame, **options) -> DataFrame:
     rows = sif.select(*_month_keys(F.col("datetime")), number("Daily_SIF_757nm").alias("sif"))
-    return group_summary(rows, MONTH_KEYS, [F.count("sif").alias("sif_n")], {"sif_median": ("sif", 0.5)}, **options)
+    return group_summary(rows, _JOIN_KEYS, [F.count("sif").alias("sif_n")], {"sif_median": ("sif", 0.5)}, **options)
 
 
-def monthly_no2(no2: DataFrame, **options) -> DataFrame:
-    """Per site and month: the site's attributes and the median NO2; dates come in mixed formats."""
-    place = ("city", *SITE_FIELDS, "is_coastal")
+PLACE = ("city", *SITE_FIELDS, "is_coastal")
+
+
+def _first_place(*order: str) -> Column:
+    """The attributes of the row that comes first in ``order``; of several such rows the least attributes."""
+    return F.min(F.struct(*order, *PLACE)).alias("place")
+
+
+def _spread_place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in (*keys, "place")]
+    return df.select(*keys, *[F.col(f"place.{c}").alias(c) for c in PLACE], *rest)
+
+
+def _no2_by_month(no2: DataFrame, **options) -> DataFrame:
     dated = no2.withColumn("parsed", parse_mixed_date(F.col("date")))
-    rows = dated.select(*_month_keys(F.col("parsed")), *place, number("no2").alias("no2"))
-    return group_summary(
-        rows, MONTH_KEYS, [F.first(c).alias(c) for c in place], {"no2_median": ("no2", 0.5)}, **options
-    )
+    rows = dated.select(*_month_keys(F.col("parsed")), "parsed", *PLACE, number("no2").alias("no2"))
+    months = group_summary(rows, _JOIN_KEYS, [_first_place("parsed")], {"no2_median": ("no2", 0.5)}, **options)
+    return _spread_place(months, _JOIN_KEYS)
+
+
+def monthly_xco2(xco2: DataFrame, **options) -> DataFrame:
+    """Per site and month: latitude of the first sounding in time, median and number of values present."""
+    return _restore_keys(_xco2_by_month(xco2, **options))
+
+
+def monthly_sif(sif: DataFrame, **options) -> DataFrame:
+    """Per site and month: median and number of values present."""
+    return _restore_keys(_sif_by_month(sif, **options))
+
+
+def monthly_no2(no2: DataFrame, **options) -> DataFrame:
+    """Per site and month: the site's attributes on its first date and the median NO2; dates come in mixed formats."""
+    return _restore_keys(_no2_by_month(no2, **options))
+
+
+def monthly_pair(xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
+    """Monthly XCO2 with the SIF of the same site and month, where there is any."""
+    return _restore_keys(_xco2_by_month(xco2, **options).join(_sif_by_month(sif, **options), list(_JOIN_KEYS), "left"))
 
 
 def monthly_merge(no2: DataFrame, xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """The three monthly tables joined on site and month, sites without population dropped, with season."""
     merged = (
-        monthly_xco2(xco2, **options)
-        .join(monthly_sif(sif, **options), list(MONTH_KEYS), "left")
-        .join(monthly_no2(no2, **options), list(MONTH_KEYS), "left")
+        _xco2_by_month(xco2, **options)
+        .join(_sif_by_month(sif, **options), list(_JOIN_KEYS), "left")
+        .join(_no2_by_month(no2, **options), list(_JOIN_KEYS), "left")
         .filter(F.col("population").isNotNull())
     )
     return _restore_keys(merged).withColumn("season", labels.season(F.col("latitude"), F.col("month")))
 
 
 def seasonal_medians(merged: DataFrame, **options) -> DataFrame:
-    """Median and spread of the monthly medians per site and season."""
-    place = ("city", *SITE_FIELDS, "is_coastal")
-    values = ("xco2", "sif", "no2")
-    return group_summary(
-        merged, ["target_name", "season"],
-        [F.first(c).alias(c) for c in place] + [F.stddev_samp(f"{v}_median").alias(f"{v}_std") for v in values],
+    """Median and spread of the monthly medians per site and season, with the site's attributes in the first month."""
+    keys, values = ("target_name", "season"), ("xco2", "sif", "no2")
+    medians = group_summary(
+        merged, keys,
+        [_first_place("year", "month")] + [F.stddev_samp(f"{v}_median").alias(f"{v}_std") for v in values],
         {f"{v}_median": (f"{v}_median", 0.5) for v in values}, **options,
-    ).filter(F.col("population").isNotNull())
+    )
+    return _spread_place(medians, keys).filter(F.col("population").isNotNull())
 
 
 def monthly_table(no2: DataFrame, xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """The modelling table of the three-source analysis."""
     merged = cut_lineage(monthly_merge(no2, xco2, sif, **options), "monthly")
-    medians = cut_lineage(seasonal_medians(merged, **options), "seasonal")
+    medians = cut_lineage(seasonal_medians(merged, stored=True, **options), "seasonal")
     return medians.transform(iqr_norm(MONTHLY_SCALING, **options))
 
 

@@ -110,7 +110,7 @@ TEXT_STREAM = T.StructType([T.StructField("sounding_id", T.LongType()), *schemas
 
 
 def _text_soundings(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.schema(TEXT_STREAM).option("header", True).csv(_text_folder(spark, d))
+    return readers.read_text_csv(spark, _text_folder(spark, d), TEXT_STREAM)
 
 
 # Scans and sources.
@@ -207,15 +207,9 @@ def left_join_dim(spark, d):
     return joined.select("sounding_id", "target_name", "xco2", "country", "population", "gdp_bil_usd", "coastal_km")
 
 
-def _monthly_pair(spark, d):
-    keys = list(pipelines.MONTH_KEYS)
-    return pipelines.monthly_xco2(xco2_obs(spark, d)).drop("latitude"), pipelines.monthly_sif(sif_obs(spark, d)), keys
-
-
 @query
 def left_join_monthly(spark, d):
-    xco2, sif, keys = _monthly_pair(spark, d)
-    return xco2.join(sif, keys, "left")
+    return pipelines.monthly_pair(xco2_obs(spark, d), sif_obs(spark, d)).drop("latitude")
 
 
 @query
@@ -427,7 +421,7 @@ def chart_range(spark, d):
 def scatter_frame(spark, d):
     return _impact(spark, d).select(
         "city", "co2_em_iqr", "co2_conc_iqr", "quadrant", (F.col("population") / 1e6).alias("population_m"),
-        F.when(readers.coastal_flag(F.col("is_coastal")), "Coastal").otherwise("Inland").alias("shape"),
+        labels.coast_shape(readers.coastal_flag(F.col("is_coastal"))).alias("shape"),
         F.when(F.col("quadrant").isin("LOW_emissions_HIGH_conc", "HIGH_emissions_LOW_conc"), F.col("city")).alias("label"),
     )
 
@@ -502,6 +496,15 @@ def cluster_members(spark, d):
     )
 
 
+@query
+def local_intensity(spark, d):
+    clustered = _clustered(spark, d)
+    members = geo.cluster_members(clustered, geo.cluster_stats(clustered, "datetime", "point_id", "xco2"))
+    return members.select(
+        "point_id", "cluster_id", rescale(F.col("xco2"), F.col("local_min"), F.col("local_max")).alias("local_intensity")
+    )
+
+
 @query
 def cluster_bbox(spark, d):
     return summaries.bounding_box(_clustered(spark, d), "cluster_id")

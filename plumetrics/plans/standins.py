@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumetrics.sources.readers import nan_as_null
+
 # Declared, so that no query spends a job on reading file footers first.
 SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -19,7 +21,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return nan_as_null(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def site_name(key: Column) -> Column:

@@ -36,13 +36,21 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV matched to ``schema`` by cleaned header name; blank, NA or unreadable values are NULL."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    """Headered CSV matched to ``schema`` by cleaned header name; blank, NA or unreadable values are NULL.
+
+    The files of a folder must agree on the order of the columns that are read: another header is an error.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
     raw = raw.toDF(*clean_header(raw.columns))
     require_columns(raw, schema.names)
     return raw.select(*[_typed(f).alias(f.name) for f in schema.fields])
 
 
+def read_text_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Headered CSV whose header must name the columns of ``schema`` in this order; another header is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def _typed(field: T.StructField) -> Column:
     text = F.nullif(F.col(f"`{field.name}`"), F.lit("NA"))
     if isinstance(field.dataType, T.StringType):

@@ -11,9 +11,13 @@ from plumetrics.sources.readers import UNKNOWN_CITY, ingest_gate
 
 
 def text_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
-    """Soundings as text from the headered CSV files that arrive in ``folder``."""
+    """Soundings as text from the headered CSV files that arrive in ``folder``.
+
+    A header that does not name the columns of ``schema`` in their order stops the stream.
+    """
     return (
-        spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch)
+        spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+        .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
     )
 
