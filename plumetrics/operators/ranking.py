@@ -15,6 +15,21 @@ from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_coun
 SAMPLE_SIZE = 12_000
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+    """``df`` with ``place``, counted from 0 in ``order``, which must tell all rows apart.
+
+    Rows are numbered within range-partitioned pieces and the sizes of the earlier pieces, a row each, are added.
+    """
+    ranges = df.repartitionByRange(*order).withColumn("piece", F.spark_partition_id())
+    pieces = cut_lineage(ranges, label)
+    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("rows")).select(
+        "piece", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("piece").orderBy(*order)
+    return pieces.join(offsets, "piece").select(
+        *df.columns, (F.col("offset") + F.row_number().over(within) - 1).cast("bigint").alias("place"))
+
+
 def top_k(df: DataFrame, by: Sequence[str], score: Column, k: int, ties: Sequence[str]) -> DataFrame:
     """The ``k`` rows of each group with the highest score, missing scores last.
 
@@ -27,16 +42,15 @@ def top_k(df: DataFrame, by: Sequence[str], score: Column, k: int, ties: Sequenc
 def ordered_levels(df: DataFrame, key: str, value: str, **options) -> DataFrame:
     """Category levels with their position when ordered by group median."""
     levels = group_summary(df, [key], [], {"median_value": (value, 0.5)}, **options)
-    # One row per category, so the single-partition window is small.
-    place = Window.orderBy(F.col("median_value").asc_nulls_last(), key)
-    return levels.withColumn("position", F.row_number().over(place).cast("bigint"))
+    placed = numbered(levels, [F.col("median_value").asc_nulls_last(), F.col(key)], "ordered-levels")
+    return placed.select(*levels.columns, (F.col("place") + 1).alias("position"))
 
 
 def factor_levels(df: DataFrame, key: str) -> DataFrame:
     """Sorted distinct levels with their code; the first is the baseline of a model."""
     levels = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    code = F.row_number().over(Window.orderBy(key)).cast("bigint")
-    return levels.withColumn("code", code).withColumn("is_baseline", F.col("code") == 1)
+    code = (F.col("place") + 1).alias("code")
+    return numbered(levels, [key], "factor-levels").select(key, code).withColumn("is_baseline", F.col("code") == 1)
 
 
 def month_timeline(months: DataFrame, month: str = "month") -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from plumetrics.functions.scalars import number
 from plumetrics.functions.tails import f_upper, t_quantile, t_two_sided
 from plumetrics.operators.quantiles import group_summary, keyed_join, with_row
-from plumetrics.session import broadcast_if_small, cut_lineage_counted
+from plumetrics.operators.ranking import numbered
+from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 INTERCEPT = "(Intercept)"
 # A predictor is aliased when earlier ones explain all but this share of its variation.
@@ -114,10 +115,54 @@ class LinearFit:
     def with_interaction(self, level: float = 0.95) -> tuple[DataFrame, DataFrame]:
         """The pooled model ``y ~ xs * factor`` for the single factor in ``by``: coefficients and fit.
 
-        Built from the per-level moments; the wide design matrix never exists. The moment rows, one per
-        factor level, are the only thing brought together.
+        Every level is solved on its own; a term of a level is its difference to the first level, and the pooled
+        residual variance comes from the sums over levels. So the work grows with the number of levels and no task
+        holds more than a level. A predictor aliased within a level keeps the slope of the first level there. Only if
+        a predictor is aliased within the first level, which term is left out depends on all levels together; then
+        one task solves the pooled equations.
         """
         (factor,), xs = self.by, self.xs
+        k = len(xs)
+        levels = numbered(self.moment_rows.filter((F.col("n") > 0) & F.col(factor).isNotNull()), [factor], "levels")
+        base = levels.filter("place = 0").toPandas().to_dict("records")
+        if base and _solve(base[0], k)[3] <= k:
+            return self._dense_interaction(level)
+
+        def level_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for row in batch.to_dict("records"):
+                    _, _, _, rank, rss, tss = _solve(row, k)
+                    rows.append([row["n"], row["n_dropped"], row["means"][k], rank, rss, tss])
+                yield pd.DataFrame(rows, columns=["n", "n_dropped", "mean", "rank", "rss", "tss"])
+
+        sums = levels.mapInPandas(level_sums, "n bigint, n_dropped bigint, mean double, rank bigint, rss double, tss double")
+        # The means are taken about the first level's, so little cancels in the spread between levels.
+        shift = float(base[0]["means"][k]) if base else 0.0
+        sums = sums.withColumn("m", F.col("mean") - F.lit(shift))
+        between = F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), 2) / F.sum("n")
+        pooled = cut_lineage(sums.agg(
+            F.sum("n").alias("n"), F.sum("n_dropped").alias("n_dropped"), F.sum("rank").alias("model_rank"),
+            F.sum("rss").alias("rss"), (F.sum("tss") + between).alias("tss"), F.count(F.lit(1)).alias("n_levels"),
+        ), "pooled")
+
+        def coefficient_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    yield _interaction_rows(row, base[0], factor, xs, level)
+
+        def fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.dropna(subset=["n"]).to_dict("records"):
+                    rank, n = int(r["model_rank"]), int(r["n"])
+                    yield _fit_rows({}, n, r["n_dropped"], n - rank, rank, r["rss"], r["tss"])
+
+        totals = pooled.select(F.col("n").alias("all_n"), "model_rank", "rss", "n_levels")
+        with_pool = with_row(levels, totals, "pool").select("*", "pool.*").drop("pool")
+        return with_pool.mapInPandas(coefficient_rows, COEFFICIENT_FIELDS), pooled.mapInPandas(fit_rows, FIT_FIELDS)
+
+    def _dense_interaction(self, level: float) -> tuple[DataFrame, DataFrame]:
+        (factor,), xs = self.by, self.xs
 
         def coefficient_rows(levels: pd.DataFrame) -> pd.DataFrame:
             terms, beta, var, df_resid, *_ = _solve_interaction(levels, factor, xs)
@@ -250,6 +295,56 @@ def _solve_interaction(levels: pd.DataFrame, factor: str, xs: Sequence[str]):
     return terms, estimate, variance, df_resid, rank, rss, tss
 
 
+def _interaction_rows(row: dict, base: dict, factor: str, xs: Sequence[str], level: float) -> pd.DataFrame:
+    """The terms of one level of the pooled model, whose first level has all its terms."""
+    k, place, rest = len(xs), int(row["place"]), int(row["n_levels"]) - 1
+    df_resid = int(row["all_n"]) - int(row["model_rank"])
+    s2 = max(row["rss"], 0.0) / df_resid if df_resid > 0 else math.nan
+    first, first_cov, _, _ = _level_terms(base, k)
+    if place == 0:
+        terms, orders = [INTERCEPT, *xs], list(range(k + 1))
+        estimate, variance = first, np.diag(first_cov) * s2
+    else:
+        name = str(row[factor])
+        terms = [f"{factor}{name}", *[f"{x}:{factor}{name}" for x in xs]]
+        orders = [k + place, *[k + rest * (j + 1) + place for j in range(k)]]
+        own, own_cov, kept, carry = _level_terms(row, k)
+        estimate, variance = np.full(k + 1, np.nan), np.full(k + 1, np.nan)
+        estimate[kept] = own[kept] - carry @ first
+        variance[kept] = (np.diag(own_cov)[kept] + np.diag(carry @ first_cov @ carry.T)) * s2
+    rows = _coefficient_rows({}, terms, estimate, variance, df_resid, level)
+    rows["term_order"] = orders
+    return rows
+
+
+def _level_terms(row: dict, k: int):
+    """(estimates, unscaled covariance, places of terms not aliased, carry) of one level.
+
+    ``carry`` expresses every column of the level by those not aliased: slopes of another level times ``carry`` are the
+    same fit on these columns.
+    """
+    n, mean = int(row["n"]), np.asarray(row["means"], dtype=float)
+    a = _matrix(row, k) * (n - 1) if n > 1 else np.zeros((k + 1, k + 1))
+    kept = _eliminate(a, np.diag(a).copy(), range(k)) if n > 1 else []
+    places = [0, *[p + 1 for p in kept]]
+    inverse, centre = -a[np.ix_(kept, kept)], mean[kept]
+    estimate, covariance = np.full(k + 1, np.nan), np.full((k + 1, k + 1), np.nan)
+    estimate[places] = [mean[k] - centre @ a[kept, k], *a[kept, k]]
+    block = np.zeros((len(places), len(places)))
+    block[1:, 1:] = inverse
+    block[0, 1:] = block[1:, 0] = -inverse @ centre
+    block[0, 0] = 1.0 / n + centre @ inverse @ centre
+    covariance[np.ix_(places, places)] = block
+    carry = np.zeros((len(places), k + 1))
+    carry[range(len(places)), places] = 1.0
+    for p in range(k):
+        if p not in kept:
+            share = a[kept, p]
+            carry[1:, p + 1] = share
+            carry[0, p + 1] = mean[p] - centre @ share
+    return estimate, covariance, places, carry
+
+
 def _present(value: float) -> float | None:
     return None if value is None or not math.isfinite(value) else float(value)
 
