@@ -12,11 +12,13 @@ SEASON_MONTHS = {
     (6, 7, 8): ("Summer", "Winter"),
     (9, 10, 11): ("Autumn", "Spring"),
 }
+# All labels.
 SEASONS = (
     "Autumn (North)", "Autumn (South)", "Other", "Spring (North)", "Spring (South)", "Summer (North)",
     "Summer (South)", "Tropical Dry", "Tropical Wet", "Winter (North)", "Winter (South)",
 )
 TIMES_OF_DAY = ("Night", "Morning", "Afternoon", "Evening")
+# Fixed value.
 COASTAL_KM = 50
 
 

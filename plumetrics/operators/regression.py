@@ -183,11 +183,14 @@ class LinearFit:
         return T.StructType([*keys, *T.StructType.fromDDL(fields).fields])
 
 
-def trend_band(df: DataFrame, x: str, y: str, by: str, level: float = 0.95, points: int = GRID_POINTS) -> DataFrame:
-    """Straight-line fit per group on an even grid over the group's x range, with its confidence band."""
+def trend_band(
+    df: DataFrame, x: str, y: str, by: str | None = None, level: float = 0.95, points: int = GRID_POINTS
+) -> DataFrame:
+    """Straight-line fit per group (of the whole table without ``by``) on an even grid over the x range, with its band."""
+    keys = [by] if by else []
     xv = F.when(number(y).isNotNull(), number(x))
     yv = F.when(number(x).isNotNull(), number(y))
-    lines = df.groupBy(by).agg(
+    lines = df.groupBy(*keys).agg(
         F.regr_count(yv, xv).alias("n"), F.regr_slope(yv, xv).alias("slope"),
         F.regr_intercept(yv, xv).alias("intercept"), F.regr_r2(yv, xv).alias("r_squared"),
         F.regr_avgx(yv, xv).alias("x_mean"), F.regr_sxx(yv, xv).alias("sxx"),
@@ -208,7 +211,7 @@ def trend_band(df: DataFrame, x: str, y: str, by: str, level: float = 0.95, poin
         grid.withColumn("x", grid_x)
         .withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("x"))
         .withColumns({"conf_low": F.col("fitted") - half, "conf_high": F.col("fitted") + half})
-        .select(by, F.col("step").cast("bigint").alias("step"), "n", "slope", "intercept", "r_squared",
+        .select(*keys, F.col("step").cast("bigint").alias("step"), "n", "slope", "intercept", "r_squared",
                 "x", "fitted", "conf_low", "conf_high")
     )
 

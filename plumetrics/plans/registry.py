@@ -26,6 +26,7 @@ TERM_NAMES = {
     "sif_iqr": "SIF", "pop_iqr": "Population", "xco2numsams_iqr": "CO2 Sample Size",
     "sifnumsams_iqr": "SIF Sample Size", "gdp_iqr": "GDP", "coast_iqr": "Coastal Distance",
 }
+# Names shown on the significance grid.
 GRID_TERMS = {"sif_iqr": "SIF", "pop_iqr": "Population", "coast_iqr": "Coast", "xco2_numsams_iqr": "xco2_numsams"}
 
 
@@ -662,6 +663,6 @@ def stream_ingest(spark, d):
 @query
 def stream_city_month(spark, d):
     target, checkpoint = ingest.scratch_pair(spark, "city-month")
-    stream = ingest.text_stream(spark, _text_folder(spark, d), TEXT_STREAM, 2)
+    stream = ingest.text_stream(spark, _text_folder(spark, d), TEXT_STREAM)
     ingest.upsert_available(ingest.city_month_running(stream), target, checkpoint)
     return ingest.latest(spark, target)

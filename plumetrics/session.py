@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A table counted to have at most this many rows is sent whole to every executor.
+# A table counted to have at most this many rows and bytes is sent whole to every executor.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app_name: str = "plumetrics", master: str | None = None, **conf: object) -> SparkSession:
@@ -64,5 +67,16 @@ def cut_lineage_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame,
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a narrow table known to be small; beyond that leave the join, and its skew, to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast a narrow table of few rows and bytes; beyond that leave the join, and its skew, to the planner.
+
+    ``df`` is read once to add up its texts and other values without a fixed width, so it should be a stored table.
+    """
+    if rows > BROADCAST_ROWS:
+        return df
+    fixed = (T.NumericType, T.DatetimeType, T.DateType, T.BooleanType)
+    loose = [f.name for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    n_bytes = 16 * rows * len(df.columns)
+    if loose:
+        lengths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("bigint") for c in loose]
+        n_bytes += df.agg(F.sum(reduce(lambda a, b: a + b, lengths))).first()[0] or 0
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df

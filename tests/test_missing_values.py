@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from plumetrics.functions.tails import beta_share, f_upper, t_quantile, t_two_sided
+from plumetrics import session
 from plumetrics.operators import geo, regression, summaries
 from plumetrics.plans import pipelines
 from plumetrics.sources import readers, schemas
@@ -46,6 +47,8 @@ def test_nan_counts_as_missing(frame):
     assert summaries.monthly_mean(df, ["k"], "v").first().mean_value == 3.25
     band = regression.trend_band(df, "x", "v", "k").first()
     assert band.n == 4 and math.isfinite(band.slope)
+    whole = regression.trend_band(df, "x", "v").first()
+    assert "k" not in whole.asDict() and (whole.n, whole.slope) == (band.n, band.slope)
     points = frame([(1, "t", 1.0, 1.0, "c", "x", 3.0), (2, "t", 1.0, 1.0, "c", "x", NAN)],
                    "point_id long, datetime string, latitude double, longitude double, city string, country string, v double")
     stats = geo.cluster_stats(geo.spatial_clusters(points, "datetime", "point_id"), "datetime", "point_id", "v").first()
@@ -58,6 +61,18 @@ def test_longitudes_out_of_range_fail(frame):
         geo.spatial_clusters(points, "datetime", "point_id").collect()
 
 
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    def hinted(df, rows):
+        plan = spark.range(5).join(session.broadcast_if_small(df, rows), "id")._jdf.queryExecution().logical().toString()
+        return "broadcast" in plan
+
+    numbers = spark.range(10)
+    texts = numbers.selectExpr("id", "repeat('x', 1000) AS t")
+    assert hinted(numbers, 10) and hinted(texts, 10) and not hinted(numbers, session.BROADCAST_ROWS + 1)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 5000)
+    assert hinted(numbers, 10) and not hinted(texts, 10)
+
+
 def two_headers(tmp_path, first, second):
     folder = tmp_path / "csv"
     folder.mkdir()
