@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from plumetrics.llm.common import numbered
 from plumetrics.llm.topk_search import usable
 from plumetrics.operators.geo import connected_components
-from plumetrics.session import cut_lineage
+from plumetrics.session import cut_lineage, cut_lineage_counted
 
 LEAST_COSINE = 0.98
 PASSES = 8
@@ -21,6 +22,9 @@ PASSES = 8
 WINDOW = 1024
 HASHES = 63
 ROUNDING = 1e-4
+# A block's windows are lengthened where one vector links with so large a part of the last block they hold.
+DENSE_PART = 16
+COUNT, LINK, DENSE = range(3)
 
 
 def sort_codes(passes: int, seed: int = 7):
@@ -55,73 +59,131 @@ def sort_codes(passes: int, seed: int = 7):
     return run
 
 
-def window_links(least: float):
-    """Group function: rows of two neighbouring blocks -> links counted for each vector, and links that span them.
+def joining(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (a, b), in order of a, that join different parts; ``part`` is brought up to date."""
+    chosen = []
+    cuts = np.flatnonzero(np.diff(a, prepend=-1))
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)]):
+        home = part[a[i]]
+        others, first = np.unique(part[b[i:j]], return_index=True)
+        far = others != home
+        if far.any():
+            part[np.isin(part, others[far])] = home
+            chosen += [(int(a[i]), int(x)) for x in b[i:j][first[far]]]
+    return chosen
 
-    Pairs lie in the first block, or in the first and the second. A pair is counted in the first pass whose window
-    holds it: the blocks of both vectors in every pass tell whether an earlier one did. Of the links only a spanning
-    forest is returned, so that a group of many near copies costs as many rows as it has vectors.
+
+def compared_before(
+    blocks_a: np.ndarray, reach_a: np.ndarray, blocks_b: np.ndarray, reach_b: np.ndarray, step: int, at: int,
+) -> np.ndarray:
+    """Whether an earlier step, or an earlier pass of this step, compares the pair; one row a pair, a column a pass.
+
+    Step 0 compares blocks that are equal or neighbours, step s those 2^(s-1) + 1 to 2^s apart if the first of the
+    two is to reach so far.
+    """
+    apart = np.abs(blocks_a - blocks_b)
+    when = np.ceil(np.log2(np.maximum(apart, 1))).astype(np.int64)
+    done = np.where(blocks_a <= blocks_b, reach_a, reach_b) >= when
+    sooner = (when < step) | ((when == step) & (np.arange(blocks_a.shape[1]) < at))
+    return (done & sooner).any(axis=1)
+
+
+def window_links(least: float, dense: int, step: int):
+    """Group function: rows of two blocks -> links counted for each vector, links that span them, and density.
+
+    The blocks are ``low`` and ``low + gap``. Pairs of the two are compared, with a gap of one also those within the
+    first. A pair is counted where it is compared first: the blocks of both vectors in every pass tell. Of the links
+    only a spanning forest is returned, so that a group of many near copies costs as many rows as it has vectors. A
+    row of kind DENSE says that some vector of the first block links with ``dense`` or more of the second.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        block = key[0]
+        low, gap = key
         part = part.sort_values("key")
-        blocks = np.stack(part["blocks"].to_numpy()).astype(np.int64)
+        blocks, reach = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("blocks", "reach"))
         matrix_of = part["vector"].to_numpy()
         labels, keys, copies = (part[c].to_numpy() for c in ("label", "key", "copies"))
         passes, widths = part["pass"].to_numpy(), np.array([len(v) for v in matrix_of])
-        own = part["own"].to_numpy() == block
-        counts, parent = np.zeros(len(part), np.int64), np.arange(len(part))
-        forest = []
+        own = part["own"].to_numpy() == low
+        counts, parts = np.zeros(len(part), np.int64), np.arange(len(part))
+        forest, most = [], 0
 
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        # Only equal pass, label and width can link; own rows are compared with all rows of the two blocks.
+        # Only equal pass, label and width can link; own rows are compared with the rows of the two blocks.
         groups = pd.DataFrame({"p": passes, "l": labels, "w": widths}).groupby(["p", "l", "w"]).indices
         for (p, _, width), at in groups.items():
-            mine = at[own[at]]
-            if not len(mine) or len(at) < 2 or not width:
+            mine, other = at[own[at]], at if gap == 1 else at[~own[at]]
+            if not len(mine) or not len(other) or len(at) < 2 or not width:
                 continue
-            matrix = np.stack([np.asarray(matrix_of[i], np.float64) for i in at])
-            norms = np.sqrt((matrix * matrix).sum(axis=1))
+            matrix, against = (np.stack([np.asarray(matrix_of[i], np.float64) for i in x]) for x in (mine, other))
+            norms, lengths = (np.sqrt((m * m).sum(axis=1)) for m in (matrix, against))
             # Single precision tells which rows can have a link; these are decided in double precision.
-            rough = (matrix / norms[:, None]).astype(np.float32)
-            place = np.searchsorted(at, mine)
-            for first in range(0, len(mine), 512):
-                rows = place[first: first + 512]
-                maybe = rough[rows] @ rough.T >= least - ROUNDING
-                maybe[np.arange(len(rows)), rows] = False
+            rough, rest = ((m / n[:, None]).astype(np.float32) for m, n in ((matrix, norms), (against, lengths)))
+            for first in range(0, len(mine), 256):
+                rows = np.arange(first, min(first + 256, len(mine)))
+                maybe = rough[rows] @ rest.T >= least - ROUNDING
+                maybe &= mine[rows][:, None] != other[None, :]
                 rows = rows[maybe.any(axis=1)]
-                cosine = (matrix[rows] @ matrix.T) / (norms[rows][:, None] * norms[None, :])
-                i, j = np.nonzero(cosine >= least)
-                a, b = at[rows[i]], at[j]
-                # Within the first block every pair is seen twice, once from each side.
+                if not len(rows):
+                    continue
+                linked = (matrix[rows] @ against.T) / (norms[rows][:, None] * lengths[None, :]) >= least
+                most = max(most, int(linked[:, ~own[other]].sum(axis=1).max()))
+                i, j = np.nonzero(linked)
+                a, b = mine[rows[i]], other[j]
+                # Within the first block every pair is seen twice, once from each side, and each with itself.
                 once = np.where(own[b], a < b, True)
                 a, b = a[once], b[once]
-                new = ~(np.abs(blocks[a, :p] - blocks[b, :p]) <= 1).any(axis=1)
+                new = ~compared_before(blocks[a], reach[a], blocks[b], reach[b], step, p)
                 a, b = a[new], b[new]
                 np.add.at(counts, a, copies[b])
                 np.add.at(counts, b, copies[a])
-                for x, y in zip(a.tolist(), b.tolist()):
-                    u, v = find(x), find(y)
-                    if u != v:
-                        parent[max(u, v)] = min(u, v)
-                        forest.append((keys[x], keys[y]))
+                forest += joining(parts, a, b)
         seen = np.flatnonzero(counts)
         links = np.array(forest, np.int64).reshape(-1, 2)
+        ends = keys[links] if len(links) else links
+        full = np.zeros(int(most >= dense), np.int64)
         return pd.DataFrame({
-            "a": np.concatenate([keys[seen], links[:, 0]]).astype(np.int64),
-            "b": pd.array([None] * len(seen) + links[:, 1].tolist(), dtype="Int64"),
-            "n": np.concatenate([counts[seen], np.zeros(len(links), np.int64)]).astype(np.int64),
+            "kind": np.repeat(np.array([COUNT, LINK, DENSE], np.int32), [len(seen), len(links), len(full)]),
+            "a": np.concatenate([keys[seen], ends[:, 0], full + low]),
+            "b": np.concatenate([np.zeros(len(seen), np.int64), ends[:, 1], full + gap]),
+            "n": np.concatenate([counts[seen], np.zeros(len(links), np.int64), full]),
         })
 
     return run
 
 
+def all_links(classes: DataFrame, blocks: DataFrame, least: float, window: int) -> DataFrame:
+    """Rows (kind, a, b, n) of every step: each block with itself and the next, then dense stretches further on.
+
+    As long as a vector of a block links with a good part of the farthest block compared, a group of near copies may
+    go on behind it, so the distance is doubled for that block. Each task holds two blocks, however large the group.
+    """
+    reach, found, gap, step = None, [], 1, 0
+    while True:
+        to = blocks.withColumn("reach", F.lit(0)) if reach is None else blocks.join(reach, "block", "left").fillna(0, ["reach"])
+        per_key = to.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "reach"))).alias("b")).select(
+            "key", F.col("b.block").alias("blocks"), F.col("b.reach").alias("reach"))
+        located = classes.join(per_key, "key").select(
+            "key", "label", "vector", "copies", "blocks", "reach", F.posexplode("blocks").alias("pass", "own"))
+        if reach is None:
+            near = located.withColumn("low", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("gap", F.lit(1))
+        else:
+            pairs = reach.filter(F.col("reach") == step).select(
+                F.col("block").alias("low"), F.explode(F.sequence(F.lit(gap // 2 + 1), F.lit(gap))).alias("gap"))
+            sides = pairs.select("low", "gap", F.explode(F.array(F.col("low"), F.col("low") + F.col("gap"))).alias("own"))
+            near = located.join(sides, "own")
+        links = near.groupBy("low", "gap").applyInPandas(
+            window_links(least, max(2, window // DENSE_PART), step), "kind int, a bigint, b bigint, n bigint")
+        found.append(cut_lineage(links, "links"))
+        on = found[-1].filter((F.col("kind") == DENSE) & (F.col("b") == gap)).select(F.col("a").alias("block"))
+        on, n_on = cut_lineage_counted(on, "dense-blocks")
+        if not n_on:
+            return reduce(DataFrame.union, found)
+        gap, step = 2 * gap, step + 1
+        on = on.withColumn("reach", F.lit(step))
+        reach = cut_lineage(
+            on if reach is None else reach.union(on).groupBy("block").agg(F.max("reach").alias("reach")), "reach")
+
+
 def near_duplicates(
     rows: DataFrame, least: float = LEAST_COSINE, passes: int = PASSES, window: int = WINDOW, vec_id: str = "vec_id",
     vector: str = "embedding", label: str = "label",
@@ -131,8 +193,9 @@ def near_duplicates(
     Vectors of equal label are linked if their cosine, in double precision, is at least ``least`` and some pass
     compares them. In each pass the vectors are sorted by label and the concatenated signs of random projections,
     cut into blocks of ``window``, and each block is compared with itself and the next. Near vectors share long
-    prefixes of signs, so they stand close in some pass. Passes and window are the method's bounds: ``n_links``
-    counts the links found (tests and the README give the recall), and no link found is below the threshold.
+    prefixes of signs, so they stand close in some pass. Where a group of near copies fills a block's window, the
+    block is compared with blocks further on, up to the end of the group, so no group is too large. ``n_links`` counts
+    the links found (tests and the README give the recall), and no link found is below the threshold.
 
     Equal vectors of a label are one class from the start, so copies cost one row and are linked with certainty.
     Null labels, null, empty and zero vectors and those with null, NaN or infinite components link with nothing, nor
@@ -153,15 +216,9 @@ def near_duplicates(
         sort_codes(passes), f"pass int, label {kind}, code bigint, key bigint")
     placed = numbered(codes, [], ["pass", "label", "code", "key"], "sorted-passes")
     blocks = placed.select("key", "pass", F.floor(F.col("place") / window).alias("block"))
-    per_key = blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block"))).alias("b")).select(
-        "key", F.col("b.block").alias("blocks"))
-    located = classes.join(per_key, "key").select("key", "label", "vector", "copies", "blocks",
-                                                  F.posexplode("blocks").alias("pass", "own"))
-    near = located.withColumn("block", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    found = cut_lineage(
-        near.groupBy("block").applyInPandas(window_links(least), "a bigint, b bigint, n bigint"), "links")
-    counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.filter("b is not null").select(
+    found = all_links(classes, blocks, least, window)
+    counts = found.filter(F.col("kind") == COUNT).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.filter(F.col("kind") == LINK).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     named = classes.select("key", "least", "copies").join(roots, F.col("key") == F.col("node"), "left").select(
         "key", "least", "copies", F.coalesce("root", "key").alias("root"))

@@ -92,13 +92,32 @@ def test_near_vectors(frame, rows):
             assert got == want
 
 
-def test_dense_group_beyond_the_window(frame):
-    """Every link a window holds is counted once, and the group stays one component."""
+@pytest.mark.parametrize("others", [0, 200])
+def test_dense_group_beyond_the_window(frame, others):
+    """A group of many windows keeps every link, each counted once, and stays one component."""
     rng = np.random.default_rng(4)
     centre = rng.standard_normal(16)
-    data = [(i, [float(x) for x in centre + 0.01 * rng.standard_normal(16)], 1, "", 0) for i in range(300)]
+    data = [(i, [float(x) for x in centre + 0.01 * rng.standard_normal(16)], 1, "", 0) for i in range(600)]
+    data += [(600 + i, [float(x) for x in rng.standard_normal(16)], 1, "", 0) for i in range(others)]
     got = embedding_dedup.near_duplicates(frame(data, SCHEMA), window=32).collect()
-    assert {r["component_id"] for r in got} == {0} and all(32 <= r["n_links"] <= 299 for r in got)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_links(data)
+
+
+def test_pairs_are_compared_once():
+    """A pair belongs to the first step and pass that compare it, whatever the blocks and their reach."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 9, (200, 3)), rng.integers(0, 9, (200, 3))
+    reach = rng.integers(0, 4, 9)
+    for x, y in zip(a, b):
+        compared = []
+        for p in range(3):
+            gap = abs(int(x[p]) - int(y[p]))
+            step = next(s for s in range(5) if gap <= 2 ** s)
+            if step <= reach[min(x[p], y[p])]:
+                compared.append((step, p))
+        first = [c for c in compared if not embedding_dedup.compared_before(
+            x[None], reach[x][None], y[None], reach[y][None], *c)[0]]
+        assert first == sorted(compared)[:1]
 
 
 def test_vectors_repeated_ids_and_empty(frame, rows):
