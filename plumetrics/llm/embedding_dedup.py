@@ -159,18 +159,23 @@ def all_links(classes: DataFrame, blocks: DataFrame, least: float, window: int)
     """
     reach, found, gap, step = None, [], 1, 0
     while True:
-        to = blocks.withColumn("reach", F.lit(0)) if reach is None else blocks.join(reach, "block", "left").fillna(0, ["reach"])
-        per_key = to.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "reach"))).alias("b")).select(
-            "key", F.col("b.block").alias("blocks"), F.col("b.reach").alias("reach"))
-        located = classes.join(per_key, "key").select(
-            "key", "label", "vector", "copies", "blocks", "reach", F.posexplode("blocks").alias("pass", "own"))
         if reach is None:
-            near = located.withColumn("low", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("gap", F.lit(1))
+            wanted, own = blocks.withColumn("reach", F.lit(0)), None
         else:
             pairs = reach.filter(F.col("reach") == step).select(
                 F.col("block").alias("low"), F.explode(F.sequence(F.lit(gap // 2 + 1), F.lit(gap))).alias("gap"))
-            sides = pairs.select("low", "gap", F.explode(F.array(F.col("low"), F.col("low") + F.col("gap"))).alias("own"))
-            near = located.join(sides, "own")
+            sides = pairs.select("low", "gap", F.explode(F.array(F.col("low"), F.col("low") + F.col("gap"))).alias("block"))
+            own = cut_lineage(blocks.join(sides, "block").select("key", "pass", F.col("block").alias("own"), "low", "gap"), "sides")
+            # Only vectors of these blocks take part in the step.
+            wanted = blocks.join(own.select("key").distinct(), "key", "left_semi").join(reach, "block", "left").fillna(0, ["reach"])
+        per_key = wanted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "reach"))).alias("b")).select(
+            "key", F.col("b.block").alias("blocks"), F.col("b.reach").alias("reach"))
+        located = classes.join(per_key, "key").select("key", "label", "vector", "copies", "blocks", "reach")
+        if own is None:
+            near = located.select("*", F.posexplode("blocks").alias("pass", "own")).select(
+                "*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("low"), F.lit(1).alias("gap"))
+        else:
+            near = located.join(own, "key")
         links = near.groupBy("low", "gap").applyInPandas(
             window_links(least, max(2, window // DENSE_PART), step), "kind int, a bigint, b bigint, n bigint")
         found.append(cut_lineage(links, "links"))
