@@ -23,7 +23,7 @@ WINDOW = 1024
 HASHES = 63
 ROUNDING = 1e-4
 # A block's windows are lengthened where one vector links with so large a part of the last block they hold.
-DENSE_PART = 16
+DENSE_PART = 4
 COUNT, LINK, DENSE = range(3)
 
 
