@@ -277,9 +277,9 @@ def _least_squares(source: str, y: str, xs: tuple[str, ...], by: str | None = No
     return text + f", coef AS MATERIALIZED (SELECT *, {_tail(square, '1', 'df')} AS p_value FROM terms)"
 
 
-def _inference(digits: int = 6, wide: int = 6, group: str = "") -> str:
-    cells = ", ".join([_r("estimate", digits=wide), _r("std_error", digits=wide), _r("statistic", digits=digits),
-                       _r("p_value", digits=digits)])
+def _inference(group: str = "", raw: bool = False) -> str:
+    cells = ", ".join(_r(c, digits=4 if raw and c in ("estimate", "std_error") else 6)
+                      for c in ("estimate", "std_error", "statistic", "p_value"))
     return f"SELECT {group}term, {cells} FROM coef"
 
 
@@ -537,10 +537,10 @@ def _sql() -> dict[str, str]:
         "ols_interaction": _interaction(),
         "ols_interaction_fit": _interaction_fit(),
         "ols_summer_north": _with(
-            _inference(5, 2), "season_table",
+            _inference(raw=True), "season_table",
             extra="summer AS (SELECT * FROM season_table WHERE season = 'Summer (North)'), "
                   + _least_squares("summer", "xco2_median", RAW_PREDICTORS)),
-        "ols_by_season_no2": _with(_inference(5, 2, "grp AS season, "), "month_table",
+        "ols_by_season_no2": _with(_inference("grp AS season, ", raw=True), "month_table",
                                    extra=_least_squares("month_table", "xco2_median", NO2_PREDICTORS, "season")),
         "ols_na_rows": _with(
             f"SELECT season, count(*) FILTER ({residual_complete}) AS n, count(*) FILTER (NOT ({residual_complete})) AS n_dropped, "

@@ -13,6 +13,7 @@ from plumetrics.functions.dates import calendar_parts, local_hour, month_start,
 from plumetrics.functions.scalars import clean_text, composite_key, negative_log10, rescale
 from plumetrics.operators import geo, quantiles, ranking, regression, relational, scaling, summaries
 from plumetrics.plans import pipelines, standins
+from plumetrics.plans.oracles import FINE
 from plumetrics.plans.standins import sif_obs, sites, table, xco2_obs
 from plumetrics.session import cut_lineage, scratch_path
 from plumetrics.sources import readers, schemas
@@ -30,10 +31,6 @@ TERM_NAMES = {
 GRID_TERMS = {"sif_iqr": "SIF", "pop_iqr": "Population", "coast_iqr": "Coast", "xco2_numsams_iqr": "xco2_numsams"}
 
 
-# Columns whose values have seven or more exact decimals; six would round on exact halves.
-FINE = {"Daily_SIF_757nm": 9, "sif_median": 9, "sif_std": 9, "sif_q1": 9, "sif_q3": 9, "xco2_ppm": 9}
-
-
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded (no negative zero), whole numbers as bigint, so results compare across engines."""
     out = []
@@ -52,12 +49,10 @@ def query(build: Query) -> Query:
     return build
 
 
-def query_rounded(digits: int, **special: int) -> Callable[[Query], Query]:
-    def register(build: Query) -> Query:
-        QUERIES[build.__name__] = lambda spark, sf_dir: rounded(build(spark, sf_dir), digits, **special)
-        return build
-
-    return register
+def query_raw_units(build: Query) -> Query:
+    """Coefficients of models in raw units have four to six digits before the point: four behind it are compared."""
+    QUERIES[build.__name__] = lambda spark, sf_dir: rounded(build(spark, sf_dir), estimate=4, std_error=4)
+    return build
 
 
 # Frames several queries start from.
@@ -575,13 +570,13 @@ def ols_interaction_fit(spark, d):
     return fitted.with_interaction()[1]
 
 
-@query_rounded(5, estimate=2, std_error=2)
+@query_raw_units
 def ols_summer_north(spark, d):
     summer = _sounding_table(spark, d).filter(F.col("season") == "Summer (North)")
     return regression.fit(summer, "xco2_median", pipelines.RAW_PREDICTORS).coefficients().select(*INFERENCE)
 
 
-@query_rounded(5, estimate=2, std_error=2)
+@query_raw_units
 def ols_by_season_no2(spark, d):
     return regression.fit(_monthly_table(spark, d), "xco2_median", pipelines.NO2_PREDICTORS, ["season"]).coefficients().select(
         "season", *INFERENCE
