@@ -22,9 +22,7 @@ PASSES = 8
 WINDOW = 1024
 HASHES = 63
 ROUNDING = 1e-4
-# A block's windows are lengthened where one vector links with so large a part of the last block they hold.
-DENSE_PART = 4
-COUNT, LINK, DENSE = range(3)
+COUNT, LINK, FURTHER = range(3)
 
 
 def sort_codes(passes: int, seed: int = 7):
@@ -88,13 +86,13 @@ def compared_before(
     return (done & sooner).any(axis=1)
 
 
-def window_links(least: float, dense: int, step: int):
-    """Group function: rows of two blocks -> links counted for each vector, links that span them, and density.
+def window_links(least: float, step: int):
+    """Group function: rows of two blocks -> links counted for each vector, links that span them, and whether to go on.
 
     The blocks are ``low`` and ``low + gap``. Pairs of the two are compared, with a gap of one also those within the
     first. A pair is counted where it is compared first: the blocks of both vectors in every pass tell. Of the links
     only a spanning forest is returned, so that a group of many near copies costs as many rows as it has vectors. A
-    row of kind DENSE says that some vector of the first block links with ``dense`` or more of the second.
+    row of kind FURTHER says that a link between the two blocks was found here first.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +104,7 @@ def window_links(least: float, dense: int, step: int):
         passes, widths = part["pass"].to_numpy(), np.array([len(v) for v in matrix_of])
         own = part["own"].to_numpy() == low
         counts, parts = np.zeros(len(part), np.int64), np.arange(len(part))
-        forest, most = [], 0
+        forest, further = [], False
 
         # Only equal pass, label and width can link; own rows are compared with the rows of the two blocks.
         groups = pd.DataFrame({"p": passes, "l": labels, "w": widths}).groupby(["p", "l", "w"]).indices
@@ -126,7 +124,6 @@ def window_links(least: float, dense: int, step: int):
                 if not len(rows):
                     continue
                 linked = (matrix[rows] @ against.T) / (norms[rows][:, None] * lengths[None, :]) >= least
-                most = max(most, int(linked[:, ~own[other]].sum(axis=1).max()))
                 i, j = np.nonzero(linked)
                 a, b = mine[rows[i]], other[j]
                 # Within the first block every pair is seen twice, once from each side, and each with itself.
@@ -134,15 +131,16 @@ def window_links(least: float, dense: int, step: int):
                 a, b = a[once], b[once]
                 new = ~compared_before(blocks[a], reach[a], blocks[b], reach[b], step, p)
                 a, b = a[new], b[new]
+                further |= bool((~own[b]).any())
                 np.add.at(counts, a, copies[b])
                 np.add.at(counts, b, copies[a])
                 forest += joining(parts, a, b)
         seen = np.flatnonzero(counts)
         links = np.array(forest, np.int64).reshape(-1, 2)
         ends = keys[links] if len(links) else links
-        full = np.zeros(int(most >= dense), np.int64)
+        full = np.zeros(int(further), np.int64)
         return pd.DataFrame({
-            "kind": np.repeat(np.array([COUNT, LINK, DENSE], np.int32), [len(seen), len(links), len(full)]),
+            "kind": np.repeat(np.array([COUNT, LINK, FURTHER], np.int32), [len(seen), len(links), len(full)]),
             "a": np.concatenate([keys[seen], ends[:, 0], full + low]),
             "b": np.concatenate([np.zeros(len(seen), np.int64), ends[:, 1], full + gap]),
             "n": np.concatenate([counts[seen], np.zeros(len(links), np.int64), full]),
@@ -152,10 +150,11 @@ def window_links(least: float, dense: int, step: int):
 
 
 def all_links(classes: DataFrame, blocks: DataFrame, least: float, window: int) -> DataFrame:
-    """Rows (kind, a, b, n) of every step: each block with itself and the next, then dense stretches further on.
+    """Rows (kind, a, b, n) of every step: each block with itself and the next, then blocks further on.
 
-    As long as a vector of a block links with a good part of the farthest block compared, a group of near copies may
-    go on behind it, so the distance is doubled for that block. Each task holds two blocks, however large the group.
+    As long as the blocks that a step adds to a block's window yield a link that no earlier step or pass found, a
+    group, however sparse, may go on behind them, so the distance is doubled for that block. Each task holds two
+    blocks, however large the group.
     """
     reach, found, gap, step = None, [], 1, 0
     while True:
@@ -177,10 +176,10 @@ def all_links(classes: DataFrame, blocks: DataFrame, least: float, window: int)
         else:
             near = located.join(own, "key")
         links = near.groupBy("low", "gap").applyInPandas(
-            window_links(least, max(2, window // DENSE_PART), step), "kind int, a bigint, b bigint, n bigint")
+            window_links(least, step), "kind int, a bigint, b bigint, n bigint")
         found.append(cut_lineage(links, "links"))
-        on = found[-1].filter((F.col("kind") == DENSE) & (F.col("b") == gap)).select(F.col("a").alias("block"))
-        on, n_on = cut_lineage_counted(on, "dense-blocks")
+        on = found[-1].filter(F.col("kind") == FURTHER).select(F.col("a").alias("block")).distinct()
+        on, n_on = cut_lineage_counted(on, "further-blocks")
         if not n_on:
             return reduce(DataFrame.union, found)
         gap, step = 2 * gap, step + 1
@@ -198,8 +197,8 @@ def near_duplicates(
     Vectors of equal label are linked if their cosine, in double precision, is at least ``least`` and some pass
     compares them. In each pass the vectors are sorted by label and the concatenated signs of random projections,
     cut into blocks of ``window``, and each block is compared with itself and the next. Near vectors share long
-    prefixes of signs, so they stand close in some pass. Where a group of near copies fills a block's window, the
-    block is compared with blocks further on, up to the end of the group, so no group is too large. ``n_links`` counts
+    prefixes of signs, so they stand close in some pass. Where the farthest blocks compared yield a new link, the
+    block is compared with blocks further on, so no group is too large and none too sparse to be followed. ``n_links`` counts
     the links found (tests and the README give the recall), and no link found is below the threshold.
 
     Equal vectors of a label are one class from the start, so copies cost one row and are linked with certainty.

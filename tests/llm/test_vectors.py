@@ -103,6 +103,18 @@ def test_dense_group_beyond_the_window(frame, others):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_links(data)
 
 
+def test_sparse_group_beyond_the_window(frame):
+    """A group of many windows, each vector linked with few of a window, keeps its links."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(64)
+    data = [(i, [float(np.float32(x)) for x in centre + 0.17 * rng.standard_normal(64)], 1, "", 0) for i in range(400)]
+    want = brute_links(data)
+    n_links = [n for n, _ in want.values()]
+    assert 5 < np.mean(n_links) < 0.2 * len(data)
+    got = embedding_dedup.near_duplicates(frame(data, SCHEMA), passes=3, window=32).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
 def test_pairs_are_compared_once():
     """A pair belongs to the first step and pass that compare it, whatever the blocks and their reach."""
     rng = np.random.default_rng(5)
