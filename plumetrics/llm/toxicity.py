@@ -30,6 +30,11 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum",
 TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 FOREIGN = re.compile("[" + "".join(map(chr, TABLE)) + "]")
 WRITTEN = re.compile(r"(?:(?<=[^\W\d_])|(?<![^\s]))[0134578@$!|]+(?=[^\W\d_])")
+# Further readings of a folded text: signs at the head of a word behind any other sign, and at its end, there without
+# or with exclamation marks, which mostly are punctuation.
+HEAD = re.compile(r"(?<!\w)(?<![0134578@$!|])[0134578@$!|]+(?=[^\W\d_])")
+ENDS = (re.compile(r"(?<=[^\W\d_])[0134578@$!|]*[0134578@$|](?=!*(?![\w@$|!]))"),
+        re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?![\w@$|])"))
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
 TOXIC_SAMPLE, CLEAN_SAMPLE, TERMS = 2000, 4000, 2000
@@ -52,6 +57,14 @@ def folded(text: str) -> str:
     return WRITTEN.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, and different texts of its length with signs folded at heads behind signs and at ends of words."""
+    first = folded(text)
+    letters = lambda m: "".join(DIGITS[c] for c in m[0])
+    headed = HEAD.sub(letters, first)
+    return list(dict.fromkeys([first, headed, *(end.sub(letters, headed) for end in ENDS)]))
+
+
 def features(text: str) -> set[str]:
     """Different words of a folded text, and their stems."""
     words = set(WORD.findall(folded(text)))
@@ -79,20 +92,20 @@ class Matcher:
         """(strength, number of hits)."""
         if not text or self.empty:
             return 0.0, 0
-        text = f" {folded(text)} "
         best: dict[int, tuple[int, float]] = {}
         spared = []
-        for end, (size, kinds) in self.automaton.iter(text):
-            start = end - size + 1
-            if text[start - 1].isalpha():
-                continue
-            whole = not text[end + 1].isalpha()
-            for stem, weight in kinds:
-                if stem is None:
-                    if whole:
-                        spared.append((start, end))
-                elif (stem or whole) and weight > best.get(start, (0, 0.0))[1]:
-                    best[start] = (end, weight)
+        for text in [f" {t} " for t in readings(text)]:
+            for end, (size, kinds) in self.automaton.iter(text):
+                start = end - size + 1
+                if text[start - 1].isalpha():
+                    continue
+                whole = not text[end + 1].isalpha()
+                for stem, weight in kinds:
+                    if stem is None:
+                        if whole:
+                            spared.append((start, end))
+                    elif (stem or whole) and weight > best.get(start, (0, 0.0))[1]:
+                        best[start] = (end, weight)
         hits = [w for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in spared)] if spared else [
             w for _, w in best.values()]
         return sum(hits) / math.log2(8 + text.count(" ")), len(hits)

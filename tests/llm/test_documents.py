@@ -315,6 +315,15 @@ def test_folding_and_exceptions():
     assert toxicity.Matcher({}, ())("anything") == (0.0, 0)
 
 
+def test_signs_at_ends_and_behind_signs():
+    match = toxicity.Matcher(dict.fromkeys(toxicity.SEEDS, 2.0))
+    for word in ("garbag3", "asshol3", "imbecil3!", "idio7", "worthle55", "\"1diot", "(m0r0n)", "idiot!!", "\"$cum\"", "idio7.", "garbag3!!"):
+        assert match(f"you {word} there")[1] == 1 and match(word)[1] == 1, word
+    for word in ("mp3", "THIS!!", "2024", "covid19", "a1!", "idiotic7", "$5", "wow!!"):
+        assert match(f"you {word} there")[1] == 0, word
+    assert match("trash c4n 7rash")[1] == 1
+
+
 def test_toxicity_odd_rows(docs_of, frame):
     texts = [(i, f"you moron{i % 3} scum" if i % 4 == 0 else f"nice day number {i}") for i in range(400)]
     labels = frame([(i, 1, int(i % 4 == 0), "q") for i in range(400)] + [(5, 0, None, ""), (None, 1, 1, "")],
