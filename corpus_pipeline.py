@@ -41,9 +41,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; lang becomes the recognised one.
 
     Profiles are learned from the training part of the input's own documents. Text that is null or has no letter is
-    rejected; every other document stays.
+    rejected; every other document stays, with its own lang if nothing can be learned.
     """
     profiles = langid.learn(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    if not profiles:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = langid.predict(docs, profiles, lang_out="_lang", score_out="_score")
     return found.filter(F.col("_lang") != langid.UNKNOWN).withColumn("lang", F.col("_lang")).select(*COLUMNS)
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from plumetrics.llm import secret_scan
@@ -24,6 +25,12 @@ def test_language_keeps_what_has_letters(spark, odd, sf_dir):
     assert Counter(r["doc_id"] for r in got.collect()) == {1: 2, 2: 1, 4: 1, None: 1, 5: 1}
 
 
+def test_language_without_profiles(spark, odd, tmp_path):
+    odd.withColumn("lang", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = cp.language(spark, odd, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["lang"]) for r in got) == {(1, "en"): 2, (2, "en"): 1, (4, None): 1, (None, "en"): 1, (5, "en"): 1}
+
+
 def test_near_duplicates_keep_one_of_each(spark, odd, sf_dir):
     got = cp.near_duplicates(spark, odd, sf_dir).collect()
     # The two texts without words are one group; its smallest id is 3.
