@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from plumetrics.functions.scalars import number, widen_if_flat
 from plumetrics.operators.quantiles import group_summary, keyed_join, narrowed_quantiles
+from plumetrics.operators.sketches import quantiles_sketched
 from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 # The range shown when there is no data at all.
 EMPTY_RANGE = (380.0, 450.0)
 
 
-def robust_range(df: DataFrame, value: str) -> DataFrame:
+def robust_range(df: DataFrame, value: str, rank_error: float | None = None) -> DataFrame:
     """One row (low, high): p05/p95, else min/max when not increasing, else +-1 when still flat.
 
-    Raw soundings are one huge group, so its quantiles are always found by narrowing.
+    Raw soundings are one huge group, so its quantiles are always found by narrowing. With a ``rank_error`` they come
+    from one sketch instead: a single pass, ranks off by that much at most; the ends of the range stay exact.
     """
-    values = cut_lineage(df.select(number(value).alias(value)), "range-values")
-    ends = narrowed_quantiles(values, [], {
-        "lo": (value, 0.0), "p05": (value, 0.05), "p95": (value, 0.95), "hi": (value, 1.0),
-    })
+    spec = {"lo": (value, 0.0), "p05": (value, 0.05), "p95": (value, 0.95), "hi": (value, 1.0)}
+    if rank_error is None:
+        ends = narrowed_quantiles(cut_lineage(df.select(number(value).alias(value)), "range-values"), [], spec)
+    else:
+        ends = quantiles_sketched(df, [], spec, rank_error)
     inner, flat = F.col("p95") > F.col("p05"), F.col("hi") <= F.col("lo")
     low = F.when(inner, F.col("p05")).when(flat, F.col("lo") - 1).otherwise(F.col("lo"))
     high = F.when(inner, F.col("p95")).when(flat, F.col("hi") + 1).otherwise(F.col("hi"))

@@ -176,6 +176,14 @@ GATED = """SELECT sounding_id, latitude, longitude, xco2, t AS datetime, date_tr
     dt AS datetime_text, local_time, city, country, city || '|||' || country AS city_key, population, target_name,
     source_file FROM text WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND xco2 IS NOT NULL AND t IS NOT NULL"""
 
+# Four deliveries of twenty months, some rows a delivery late; a month is closed 400 days behind the latest row before.
+DELIVERED = """delivered AS (SELECT *, CAST(least(3, ((CAST(substr(datetime_text, 1, 4) AS INT) - 1995) * 12 +
+    CAST(substr(datetime_text, 6, 2) AS INT) - 1) // 20 + CASE WHEN sounding_id % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS delivery
+    FROM gated WHERE city <> 'Unknown'),
+    marks AS (SELECT delivery, max(latest) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 400 DAY AS mark
+    FROM (SELECT delivery, max(datetime) AS latest FROM delivered GROUP BY 1)),
+    judged AS (SELECT d.*, coalesce(month + INTERVAL 1 MONTH <= mark, false) AS late FROM delivered d JOIN marks USING (delivery))"""
+
 PARTS = {
     "site": (SITE, ()), "xco2": (XCO2, ()), "sif": (SIF, ()), "no2": (NO2, ()), "city_year": (CITY_YEAR, ()),
     "cities": (QUADRANT, ("city_year",)),
@@ -577,6 +585,46 @@ def _sql() -> dict[str, str]:
             f"city, country, city_key, population, target_name, source_file FROM gated", "gated"),
         "stream_city_month": _with(f"SELECT city_key, month, count(*) AS n_points, {_r('avg(xco2)', 'mean_value')} FROM gated "
                                    "WHERE city <> 'Unknown' GROUP BY 1, 2", "gated"),
+        "sink_snapshots": _with("SELECT month, count(*) AS n_rows, CAST(sum(CAST(xco2 AS DECIMAL(18, 2))) AS DOUBLE) AS total "
+                                "FROM city_points GROUP BY 1", "city_points"),
+        "stream_event_time": _with(
+            f"SELECT city_key, month, count(*) AS n_points, {_r('avg(xco2)', 'mean_value')}, coalesce(month + INTERVAL 1 MONTH <= "
+            f"(SELECT max(datetime) FROM delivered) - INTERVAL 400 DAY, false) AS closed FROM judged WHERE NOT late GROUP BY 1, 2",
+            "gated", extra=DELIVERED),
+        "stream_late_rows": _with("SELECT month, delivery AS batch, count(*) AS n_late FROM judged WHERE late GROUP BY 1, 2",
+                                  "gated", extra=DELIVERED),
+        "quantiles_sketched": _with(
+            "SELECT season, p, count(*) AS n, true AS within_bound FROM labelled, "
+            "(SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p) WHERE xco2 IS NOT NULL GROUP BY 1, 2", "labelled"),
+        "distinct_sketched": _with(
+            "SELECT date_trunc('month', datetime)::DATE AS month, count(DISTINCT target_name) AS n_sites, true AS within_bound "
+            "FROM xco2 GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT target_name), true FROM xco2", "xco2"),
+        "asof_sif": _with(
+            f"SELECT sounding_id, x.target_name, x.datetime, s.datetime AS matched_time, {_r('s.Daily_SIF_757nm')} FROM xco2 x ASOF LEFT JOIN "
+            "(SELECT target_name, datetime, max(Daily_SIF_757nm) AS Daily_SIF_757nm FROM sif GROUP BY 1, 2) s "
+            "ON x.target_name = s.target_name AND x.datetime >= s.datetime", "xco2", "sif"),
+        "interval_soundings": _with(
+            "SELECT x.target_name, count(*) AS n_pairs, count(DISTINCT sounding_id) AS n_soundings, "
+            "CAST(sum(CAST(xco2 AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM xco2 x JOIN (SELECT "
+            f"{SITE_NAME.format('o_custkey')} AS target_name, l_shipdate AS opens, l_shipdate + to_days((l_quantity * 10)::INT) AS closes "
+            "FROM lineitem JOIN orders ON l_orderkey = o_orderkey) w ON w.target_name = x.target_name AND opens <= datetime "
+            "AND datetime < closes GROUP BY 1", "xco2"),
+        "running_city_mean": _with(
+            f"SELECT sounding_id, city_key, count(*) OVER w AS n_running, "
+            f"{_r('CAST(sum(CAST(xco2 AS DECIMAL(18, 2))) OVER w AS DOUBLE)', 'sum_running')}, "
+            f"{_r('lag(xco2) OVER w', 'previous')} FROM city_points WINDOW w AS (PARTITION BY city_key ORDER BY datetime, sounding_id)",
+            "city_points"),
+        "rollup_moments": _with(
+            f"SELECT hemisphere, season, city, GROUPING(hemisphere) + GROUPING(season) + GROUPING(city) AS n_rolled, count(*) AS n_rows, "
+            f"count(v) AS n, {_r('avg(v)', 'mean')}, {_r('stddev_samp(v)', 'std')} FROM (SELECT {_hemisphere('season')} AS hemisphere, season, "
+            "city, floor(xco2 / 1000) AS v FROM labelled) GROUP BY ROLLUP (hemisphere, season, city)", "labelled"),
+        "trend_grid": _with(
+            f"SELECT quadrant, step, {_r('x')}, {_r('intercept + slope * x', 'fitted')} FROM (SELECT *, x1 + (x2 - x1) * step / 79 AS x "
+            "FROM lines, (SELECT unnest(range(0, 80)) AS step))", "impact", extra=lines),
+        "props_attributes": """SELECT event_id, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0
+            AND event_id % 23 <> 0 AND event_id % 29 <> 0 THEN CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k,
+            CASE WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 17 = 0 THEN 'bad k'
+            WHEN event_id % 19 = 0 THEN 'not an object' END AS rejected FROM events""",
     }
 
 

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumetrics.functions import labels
+from plumetrics.functions import attributes, labels, tables
 from plumetrics.functions.dates import calendar_parts, local_hour, month_start, parse_mixed_date
 from plumetrics.functions.scalars import clean_text, composite_key, negative_log10, rescale
-from plumetrics.operators import geo, quantiles, ranking, regression, relational, scaling, summaries
+from plumetrics.operators import (
+    geo, quantiles, ranking, regression, relational, rollups, scaling, sketches, summaries, temporal,
+)
 from plumetrics.plans import pipelines, standins
 from plumetrics.plans.oracles import FINE
 from plumetrics.plans.standins import sif_obs, sites, table, xco2_obs
 from plumetrics.session import cut_lineage, scratch_path
 from plumetrics.sources import readers, schemas
-from plumetrics.streaming import ingest
+from plumetrics.sources.snapshots import SnapshotTable
+from plumetrics.streaming import event_time, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -661,3 +664,133 @@ def stream_city_month(spark, d):
     stream = ingest.text_stream(spark, _text_folder(spark, d), TEXT_STREAM)
     ingest.upsert_available(ingest.city_month_running(stream), target, checkpoint)
     return ingest.latest(spark, target)
+
+
+# Committed batches and event time.
+
+@query
+def sink_snapshots(spark, d):
+    sink = SnapshotTable(spark, scratch_path(spark, "sink"))
+    points = _city_points(spark, d).select("sounding_id", "city_key", "xco2", "month")
+    for batch in range(3):
+        rows = points.filter(F.col("sounding_id") % 3 == batch)
+        if batch == 1:
+            sink._write(rows, batch, ["month"])  # an attempt that was cut off before its commit
+        sink.append(rows, batch, ["month"])
+        sink.append(rows, batch, ["month"])  # a writer that starts again
+        if batch == 1:
+            sink.compact(lambda kept: kept, ["month"])
+    # Cents are added up exactly.
+    total = F.sum(F.col("xco2").cast("decimal(18,2)")).cast("double").alias("total")
+    return sink.read().groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), total)
+
+
+def _delivered_months(spark: SparkSession, d: str) -> str:
+    """The text soundings in four deliveries of twenty months, some a delivery late; the folder of the months made of them."""
+    folder, target, checkpoint = (scratch_path(spark, f"delivered-{x}") for x in ("text", "months", "checkpoint"))
+    number = lambda at, n: F.substring("datetime", at, n).try_cast("int")
+    since = F.coalesce((number(1, 4) - 1995) * 12 + number(6, 2) - 1, F.lit(0))
+    delivery = F.least(F.lit(3), F.floor(since / 20) + F.when(F.col("sounding_id") % 13 == 0, 1).otherwise(0))
+    text = cut_lineage(standins.sounding_text(spark, d).withColumn("delivery", delivery), "deliveries")
+    for k in range(4):
+        text.filter(F.col("delivery") == k).drop("delivery").write.mode("append").option("header", True).option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+        stream = ingest.text_stream(spark, folder, TEXT_STREAM, 1_000_000)
+        event_time.months_available(stream, target, checkpoint, delay_days=400)
+    return target
+
+
+@query
+def stream_event_time(spark, d):
+    return event_time.month_means(spark, _delivered_months(spark, d))
+
+
+@query
+def stream_late_rows(spark, d):
+    return event_time.late_rows(spark, _delivered_months(spark, d)).groupBy("month", "batch").agg(
+        F.count(F.lit(1)).alias("n_late"))
+
+
+# Sketches.
+
+@query
+def quantiles_sketched(spark, d):
+    """Sketches of two batches, merged; each quantile is held against its exact rank."""
+    soundings = _labelled(spark, d).select("sounding_id", "season", "xco2")
+    batches = [soundings.filter(F.col("sounding_id") % 2 == k) for k in range(2)]
+    parts = [sketches.quantile_sketches(b, ["season"], ["xco2"]) for b in batches]
+    merged = cut_lineage(sketches.merged_quantile_sketches(parts[0].unionByName(parts[1]), ["season"], ["xco2"]), "sketches")
+    ps = {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+    found = sketches.quantiles_of(merged, ["season"], {n: ("xco2", p) for n, p in ps.items()})
+    long = found.select("season", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(n).alias("value")) for n, p in ps.items()])).alias("x")).select("season", "x.*")
+    ranked = soundings.filter(F.col("xco2").isNotNull()).join(F.broadcast(long), "season").groupBy("season", "p").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("xco2") < F.col("value")).alias("below"),
+        F.count_if(F.col("xco2") <= F.col("value")).alias("upto"))
+    error = F.lit(sketches.RANK_ERROR)
+    within = (F.col("below") / F.col("n") <= F.col("p") + error) & (F.col("upto") / F.col("n") >= F.col("p") - error)
+    return ranked.select("season", "p", "n", within.alias("within_bound"))
+
+
+@query
+def distinct_sketched(spark, d):
+    """Sites per month, and over all months from the merged sketches, held against the exact numbers."""
+    soundings = xco2_obs(spark, d).select(month_start(F.col("datetime")).alias("month"), "target_name")
+    months = cut_lineage(sketches.distinct_sketches(soundings, ["month"], "target_name"), "month-sketches")
+    total = sketches.merged_distinct(months, []).withColumn("month", F.lit(None).cast("date"))
+    found = sketches.distinct_counts(months.unionByName(total))
+    # Few months, and one total.
+    exact = soundings.groupBy("month").agg(F.countDistinct("target_name").alias("n_sites")).unionByName(
+        soundings.agg(F.lit(None).cast("date").alias("month"), F.countDistinct("target_name").alias("n_sites")))
+    off = F.abs(F.col("n_distinct") - F.col("n_sites"))
+    return quantiles.keyed_join(exact, found, ["month"]).select(
+        "month", "n_sites", (off <= F.col("n_sites") * sketches.distinct_error()).alias("within_bound"))
+
+
+# Joins and sums along time.
+
+@query
+def asof_sif(spark, d):
+    left = xco2_obs(spark, d).select("sounding_id", "target_name", "datetime")
+    return temporal.asof_join(left, sif_obs(spark, d), ["target_name"], "datetime", ["Daily_SIF_757nm"])
+
+
+@query
+def interval_soundings(spark, d):
+    spans = standins.observation_windows(spark, d)
+    points = xco2_obs(spark, d).select("target_name", "sounding_id", "datetime", F.col("xco2").cast("decimal(18,2)").alias("xco2"))
+    pairs = temporal.interval_join(points, spans, ["target_name"], "datetime", "opens", "closes")
+    return pairs.groupBy("target_name").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("sounding_id").alias("n_soundings"), F.sum("xco2").cast("double").alias("total"))
+
+
+@query
+def running_city_mean(spark, d):
+    points = _city_points(spark, d).select("sounding_id", "city_key", "datetime", F.col("xco2").cast("decimal(18,2)").alias("xco2"))
+    found = temporal.running(points, ["city_key"], ["datetime", "sounding_id"], "xco2")
+    return found.select("sounding_id", "city_key", "n_running", F.col("sum_running").cast("double").alias("sum_running"), F.col("previous").cast("double").alias("previous"))
+
+
+@query
+def rollup_moments(spark, d):
+    rows = _labelled(spark, d).select(
+        labels.hemisphere(F.col("season")).alias("hemisphere"), "season", "city",
+        F.floor(F.col("xco2") / 1000).cast("double").alias("thousands"))
+    return rollups.rollup_moments(rows, ["hemisphere", "season", "city"], "thousands")
+
+
+# Table functions and attributes.
+
+@query
+def trend_grid(spark, d):
+    tables.register_table_functions(spark)
+    band = regression.trend_band(_impact(spark, d), "coastal_km", "impact_iqr", "quadrant")
+    lines = band.groupBy("quadrant").agg(
+        F.min("intercept").alias("intercept"), F.min("slope").alias("slope"), F.min("x").alias("low"), F.max("x").alias("high"))
+    lines = lines.select("quadrant", "intercept", "slope", "low", "high")
+    return spark.sql("SELECT line AS quadrant, step, x, fitted FROM trend_grid(TABLE(SELECT * FROM {lines}), 80)", lines=lines)
+
+
+@query
+def props_attributes(spark, d):
+    return attributes.with_attributes(standins.event_props(spark, d), "props", "k bigint").select("event_id", "k", "rejected")

@@ -174,3 +174,18 @@ def sounding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "n/a").otherwise((k * 3).cast("string")).alias("population"),
         "target_name", "source_file",
     )
+
+
+def observation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments as windows in which a site is observed, 10 to 500 days long."""
+    days = F.make_dt_interval(days=(F.col("l_quantity") * 10).cast("int"))
+    return _shipped(spark, sf_dir, "l_shipdate", "l_quantity").select(
+        site_name(F.col("o_custkey")).alias("target_name"), F.col("l_shipdate").alias("opens"), (F.col("l_shipdate") + days).alias("closes"))
+
+
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of events as JSON; some texts are cut off, some hold another type, another shape or nothing."""
+    k = F.col("event_id")
+    props = F.when(k % 13 == 0, F.expr("left(props, length(props) - 1)")).when(k % 17 == 0, F.lit('{"k": "many"}')).when(
+        k % 19 == 0, F.lit("[1]")).when(k % 23 == 0, F.lit("{}")).when(k % 29 != 0, F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", props.alias("props"))

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from plumetrics.session import scratch_path
 from plumetrics.sources.readers import UNKNOWN_CITY, ingest_gate
+from plumetrics.sources.snapshots import SnapshotTable, newest_rows
+
+CITY_MONTH = ["city_key", "month"]
 
 
 def text_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -39,11 +42,17 @@ def city_month_running(stream: DataFrame) -> DataFrame:
     )
 
 
-def upsert_available(running: DataFrame, target: str, checkpoint: str) -> None:
-    """Write the rows each batch changed below ``target``; a batch run again replaces its own rows only."""
+def upsert_available(running: DataFrame, target: str, checkpoint: str, compact_every: int = 50) -> None:
+    """Commit the rows each batch changed to the table in ``target``; a batch that runs again changes nothing.
+
+    Every ``compact_every`` batches one row per key is written as a snapshot, which readers use from then on.
+    """
 
     def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        table = SnapshotTable(changed.sparkSession, target)
+        table.append(changed, batch)
+        if (batch + 1) % compact_every == 0:
+            table.compact(lambda rows: newest_rows(rows, CITY_MONTH))
 
     query = (
         running.writeStream.outputMode("update").foreachBatch(save)
@@ -53,11 +62,8 @@ def upsert_available(running: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The state of the upserted table: of every key the row of its last batch."""
-    rows = spark.read.parquet(target)
-    values = [c for c in rows.columns if c not in ("city_key", "month", "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("row")
-    return rows.groupBy("city_key", "month").agg(newest).select("city_key", "month", "row.*")
+    """The committed state of the upserted table: of every key the row of its last batch."""
+    return newest_rows(SnapshotTable(spark, target).read("city_key string, month date, n_points bigint, mean_value double"), CITY_MONTH)
 
 
 def scratch_pair(spark: SparkSession, label: str) -> tuple[str, str]:
