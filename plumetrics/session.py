@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 # A table counted to have at most this many rows and bytes is sent whole to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "plumetrics", master: str | None = None, **conf: object) -> SparkSession:
@@ -49,6 +52,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile drop their shuffle files when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared scratch folder once and read it back.
 
@@ -59,10 +76,14 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def cut_lineage_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
-    """Like ``cut_lineage``, with the number of rows, counted while they are written."""
+    """Like ``cut_lineage``, with the number of rows, counted while they are written.
+
+    The shuffle files behind the table are dropped as soon as it is written: nothing reads them again.
+    """
     path = scratch_path(df.sparkSession, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
