@@ -33,6 +33,8 @@ LENGTH = 50
 ANCHOR = 20
 # Anchors of a task are sent in one list per bucket; buckets are made so many that one holds about this many bytes.
 BUCKET_TEXT = 64 << 20
+# An anchor that more texts hold is dealt out by its neighbours too.
+HOT_TEXTS = 1 << 16
 PORTION, CACHED, CHUNK = 16 << 20, 128 << 10, 1 << 20
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
@@ -122,17 +124,26 @@ def text_key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 42)
 
 
-ANCHOR_NAMES = ("bucket", "hashes", "owners", "keys", "known", "known_keys")
-ANCHORS = "bucket int, hashes binary, owners binary, keys binary, known binary, known_keys binary"
+ANCHOR_NAMES = ("bucket", "hashes", "keys", "known", "known_keys")
+ANCHORS = "bucket int, hashes binary, keys binary, known binary, known_keys binary"
+
+
+def dealt(bucket: np.ndarray, *order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its entries, sorted by ``order``); one sort, whatever the number of buckets."""
+    places = np.lexsort((*order[::-1], bucket))
+    begins = np.flatnonzero(np.append(True, np.diff(bucket[places]) != 0)) if len(places) else places
+    for part in np.split(places, begins[1:]) if len(places) else ():
+        yield int(bucket[part[0]]), part
 
 
 def list_anchors(buckets: int, length: int, anchor: int):
-    """mapInArrow function: (text) -> for each bucket the anchors of a portion's different texts.
+    """mapInArrow function: (text) -> for each bucket the anchors of a portion's different texts, with the texts' keys.
 
     Within a portion a text is listed once. An anchor that the portion already shows to be repeated is answered on
-    the spot (columns ``known``), and only two of its texts are sent for comparison, however many hold it.
+    the spot (columns ``known``), and only two of its texts are sent for comparison, however many hold it. An anchor
+    takes 16 bytes, into however many buckets they are dealt.
     """
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), *[pa.binary()] * 4]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, every in portions(parts):
@@ -151,41 +162,60 @@ def list_anchors(buckets: int, length: int, anchor: int):
             many = np.repeat(counts > 1, counts)
             sent = first.copy()
             sent[1:] |= first[:-1]
-            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            for k in range(buckets):
-                own = bucket == k
-                part, known = np.flatnonzero(own & sent), np.flatnonzero(own & many)
-                if len(part):
-                    # By text, so that the numbers of the texts compress to little.
-                    part = part[np.argsort(number[part], kind="stable")]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((
-                        k, hashes[part].tobytes(), number[part].astype(np.uint32).tobytes(), keys.tobytes(),
-                        hashes[known].tobytes(), keys[number[known]].tobytes()), kinds)], names=list(ANCHOR_NAMES))
+            # By text, so that the keys compress to little.
+            for k, part in dealt((hashes % np.uint64(buckets)).astype(np.int32), number):
+                own, known = part[sent[part]], part[many[part]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((
+                    k, hashes[own].tobytes(), keys[number[own]].tobytes(),
+                    hashes[known].tobytes(), keys[number[known]].tobytes()), kinds)], names=list(ANCHOR_NAMES))
 
     return run
 
 
-def by_text(hashes: np.ndarray, owners: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(owners, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    begins = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, np.int64)
-    cuts = np.append(begins, len(owners))
-    return pd.DataFrame({"key": owners[begins].astype(np.int64),
-                         "hashes": [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+def repeated_anchors(hot_texts: int):
+    """Group function of a bucket: (key, hash), a row for each repeated anchor of a text.
+
+    The last bit of a hash tells whether more than ``hot_texts`` texts of the bucket's portions hold the anchor.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part[c]])
+        hashes, owners = read("hashes", np.uint64), read("keys", np.int64)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        low, high = np.minimum.reduceat(owners, begins), np.maximum.reduceat(owners, begins)
+        many = np.repeat(low != high, np.diff(np.append(begins, len(hashes))))
+        hashes = np.concatenate([hashes[many], read("known", np.uint64)])
+        owners = np.concatenate([owners[many], read("known_keys", np.int64)])
+        _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        flagged = (hashes & ~np.uint64(1)) | (counts[at] > hot_texts).astype(np.uint64)
+        order = np.argsort(owners, kind="stable")
+        return pd.DataFrame({"key": owners[order], "hash": flagged[order].view(np.int64)})
+
+    return run
 
 
-def repeated_anchors(part: pd.DataFrame) -> pd.DataFrame:
-    """Group function of a bucket: (key, hashes), the repeated anchors listed by text."""
-    hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in part["hashes"]])
-    owners = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(o, np.uint32)] for k, o in zip(part["keys"], part["owners"])])
-    order = np.argsort(hashes, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    low, high = np.minimum.reduceat(owners, begins), np.maximum.reduceat(owners, begins)
-    many = np.repeat(low != high, np.diff(np.append(begins, len(hashes))))
-    known = np.concatenate([np.frombuffer(h, np.uint64) for h in part["known"]])
-    known_keys = np.concatenate([np.frombuffer(k, np.int64) for k in part["known_keys"]])
-    return by_text(np.concatenate([hashes[many], known]), np.concatenate([owners[many], known_keys]))
+def divided(texts: list[bytes], hashes: np.ndarray, number: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int, anchor: int):
+    """Contexts of hot anchors, divided where the second least hash of a window changes: (hash, number, start, windows).
+
+    Equal windows have equal least and second least hashes, so they meet under the hash of both.
+    """
+    sizes = windows + length - 1
+    joined = b"".join(texts[i][s: s + n] for i, s, n in zip(number.tolist(), start.tolist(), sizes.tolist()))
+    values = rolling(np.frombuffer(joined, np.uint8), anchor)
+    ends = np.cumsum(sizes)
+    context = np.repeat(np.arange(len(sizes)), sizes)
+    values[values == hashes[context[: len(values)]]] = np.uint64((1 << 64) - 1)
+    second = sliding_least(values, length - anchor + 1)
+    context = context[: len(second)]
+    place = np.arange(len(second)) - (ends - sizes)[context]
+    good = np.flatnonzero(place < windows[context])
+    second, context, place = second[good], context[good], place[good]
+    begins = np.flatnonzero(np.append(True, (second[1:] != second[:-1]) | (context[1:] != context[:-1])))
+    counts = np.diff(np.append(begins, len(second)))
+    at = context[begins]
+    return hashes[at] ^ (second[begins] * MIX), number[at], start[at] + place[begins], counts
 
 
 CONTEXT_NAMES = ("bucket", "bytes", "windows", "starts", "owners", "docs", "keys", "known")
@@ -196,37 +226,39 @@ def send_contexts(buckets: int, length: int, anchor: int):
     """mapInArrow function: (doc, key, text, hashes) -> for each bucket the contexts of repeated anchors.
 
     Of equal contexts of a portion only those of the least document are sent; the others are removed at once, as
-    triples (key, start, end) in ``known``. A hash of the bytes tells equal ones within an anchor.
+    triples (key, start, end) in ``known``. Contexts of hot anchors are dealt by a second hash too.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.uint64(1)
         for batch, texts in portions(parts):
             docs, keys = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "key"))
-            wanted = np.unique(np.frombuffer(b"".join(h for one in batch.column("hashes").to_pylist() for h in one), np.uint64))
+            flagged = np.unique(batch.column("hashes").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            wanted, hot = np.unique(flagged >> one), np.unique(flagged[(flagged & one) == one] >> one)
             hashes, number, start, windows = contexts(texts, length, anchor)
-            at = np.searchsorted(wanted, hashes)
-            hit = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == hashes)) if len(wanted) else at[:0]
+            hit = np.isin(hashes >> one, wanted)
             hashes, number, start, windows = hashes[hit], number[hit], start[hit], windows[hit]
+            many = np.isin(hashes >> one, hot)
+            if many.any():
+                split = divided(texts, hashes[many], number[many], start[many], windows[many], length, anchor)
+                hashes, number, start, windows = (
+                    np.concatenate([a[~many], b.astype(a.dtype)]) for a, b in zip((hashes, number, start, windows), split))
             owner = docs[number]
+            ids: dict[bytes, int] = {}
             stretch = [texts[i][s: s + w + length - 1] for i, s, w in zip(number.tolist(), start.tolist(), windows.tolist())]
-            name = np.array([hash(x) for x in stretch], np.int64)
-            order = np.lexsort((owner, name, hashes))
-            new = np.ones(len(order), bool)
-            new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (name[order][1:] != name[order][:-1])
-            least = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else owner[order]
-            later = np.zeros(len(order), bool)
-            later[order] = owner[order] > least
-            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            for k in range(buckets):
-                part, known = np.flatnonzero((bucket == k) & ~later), np.flatnonzero((bucket == k) & later)
-                if len(part):
-                    done = np.stack([keys[number[known]], start[known], start[known] + windows[known] + length - 1], axis=1)
-                    names, at = np.unique(number[part], return_inverse=True)
-                    row = (k, b"".join([stretch[i] for i in part.tolist()]), windows[part].astype(np.uint8).tobytes(),
-                           start[part].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(),
-                           docs[names].tobytes(), keys[names].tobytes(), done.astype(np.int64).tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row[0]], pa.int32()), *(pa.array([v], pa.binary()) for v in row[1:])], names=list(CONTEXT_NAMES))
+            name = np.array([ids.setdefault(x, len(ids)) for x in stretch], np.int64)
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, name, owner)
+            later = owner > least[name]
+            for k, every in dealt((hashes % np.uint64(buckets)).astype(np.int32), number, start):
+                part, known = every[~later[every]], every[later[every]]
+                done = np.stack([keys[number[known]], start[known], start[known] + windows[known] + length - 1], axis=1)
+                names, at = np.unique(number[part], return_inverse=True)
+                row = (k, b"".join([stretch[i] for i in part.tolist()]), windows[part].astype(np.uint8).tobytes(),
+                       start[part].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(),
+                       docs[names].tobytes(), keys[names].tobytes(), done.astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[0]], pa.int32()), *(pa.array([v], pa.binary()) for v in row[1:])], names=list(CONTEXT_NAMES))
 
     return run
 
@@ -300,7 +332,7 @@ def removed_windows(parts: list[bytes], docs: np.ndarray, length: int, deep: int
 
 
 def mark(length: int, anchor: int):
-    """Group function of a bucket: (key, spans), the removed stretches of each text as pairs (start, end)."""
+    """Group function of a bucket: (key, span), a row for each removed stretch of a text, its start x 2^32 + its end."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         windows, starts, known = (
@@ -331,9 +363,7 @@ def mark(length: int, anchor: int):
             done.append(np.stack([np.full(len(edges), keys[i]), starts[i] + edges[:, 0], starts[i] + edges[:, 1] + length - 1], axis=1))
         every = np.concatenate(done)
         every = every[np.argsort(every[:, 0], kind="stable")]
-        begins = np.flatnonzero(np.append(True, every[1:, 0] != every[:-1, 0])) if len(every) else np.zeros(0, np.int64)
-        cuts = np.append(begins, len(every))
-        return pd.DataFrame({"key": every[begins, 0], "spans": [every[a:b, 1:].tobytes() for a, b in zip(cuts, cuts[1:])]})
+        return pd.DataFrame({"key": every[:, 0], "span": (every[:, 1] << 32) | every[:, 2]})
 
     return run
 
@@ -379,17 +409,16 @@ def remove_spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         rows = []
         bodies = (t or "" for t in batch.column("text").to_pylist())
-        for text, whole, spans in zip(bodies, batch.column("whole").to_pylist(), batch.column("spans").to_pylist()):
+        for text, whole, spans in zip(bodies, batch.column("whole").to_pylist(), batch.column("spans")):
             body = text.encode("utf-8", "surrogatepass")
             n = len(body)
             if whole:
                 runs = [(0, n)]
-            elif spans:
-                every = np.concatenate([np.frombuffer(x, np.int64) for x in spans]).reshape(-1, 2)
-                every = every[np.argsort(every[:, 0], kind="stable")]
-                high = np.maximum.accumulate(every[:, 1])
-                new = np.append(True, every[1:, 0] > high[:-1])
-                runs = list(zip(every[new, 0].tolist(), high[np.append(new[1:], True)].tolist()))
+            elif spans.is_valid:
+                every = np.sort(spans.values.to_numpy(zero_copy_only=False))
+                begins, high = every >> 32, np.maximum.accumulate(every & 0xFFFFFFFF)
+                new = np.append(True, begins[1:] > high[:-1])
+                runs = list(zip(begins[new].tolist(), high[np.append(new[1:], True)].tolist()))
             else:
                 runs = []
             edges = [0, *(x for run in runs for x in run), n]
@@ -404,7 +433,7 @@ def remove_spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicate(
     docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text",
-    bucket_text: int = BUCKET_TEXT, with_bytes: bool = True,
+    bucket_text: int = BUCKET_TEXT, hot_texts: int = HOT_TEXTS, with_bytes: bool = True,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the kept bytes.
 
@@ -412,7 +441,8 @@ def deduplicate(
     Texts are UTF-8 bytes, null is empty; texts shorter than ``length`` lose nothing. Strings are judged on the input.
     Ids are whole numbers; a null id counts as larger than all. Rows that repeat an id do not take strings from each
     other, as neither id is smaller. An empty table gives an empty result. Hot passages are answered within tasks
-    before they are sent, so no bucket receives a passage more often than there are portions of text.
+    before they are sent, so no bucket receives a passage more often than there are portions of text. An anchor that
+    more than ``hot_texts`` texts hold is dealt out by its windows' second least hash as well.
     """
     spark = docs.sparkSession
     last = (1 << 63) - 1
@@ -424,20 +454,23 @@ def deduplicate(
     light = cut_lineage(keyed.select("doc", "key", F.crc32("text").alias("check"), F.octet_length("text").alias("size")), "texts")
     size = light.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
     buckets = piece_count(size, bucket_text, partitions(spark) if size > bucket_text else 1)
-    heads = light.groupBy("key", "check", "size").agg(F.min("doc").alias("head"))
-    listed = keyed.filter(F.octet_length("text") >= length).select("text").mapInArrow(list_anchors(buckets, length, anchor), ANCHORS)
-    repeated = listed.groupBy("bucket").applyInPandas(repeated_anchors, "key bigint, hashes binary")
-    by_key = repeated.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
+    long = keyed.filter(F.octet_length("text") >= length)
+    listed = long.select("text").mapInArrow(list_anchors(buckets, length, anchor), ANCHORS)
+    repeated = listed.groupBy("bucket").applyInPandas(repeated_anchors(hot_texts), "key bigint, hash bigint")
+    # Written, so that the anchors' shuffle is dropped before the contexts are sent.
+    by_key = cut_lineage(repeated.groupBy("key").agg(F.collect_list("hash").alias("hashes")), "repeated-anchors")
     # One document of each text; copies meet within tasks first.
-    firsts = keyed.filter(F.octet_length("text") >= length).groupBy("key").agg(
-        F.min(F.struct("doc", "text")).alias("one")).select("key", "one.*")
+    firsts = long.groupBy("key").agg(F.min(F.struct("doc", "text")).alias("one")).select("key", "one.*")
     sent = firsts.join(by_key, "key").select("doc", "key", "text", "hashes").mapInArrow(send_contexts(buckets, length, anchor), CONTEXTS)
-    spans = cut_lineage(sent.groupBy("bucket").applyInPandas(mark(length, anchor), "key bigint, spans binary"), "spans")
-    decided = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    placed = light.filter(F.col("size") >= length).distinct().join(heads, ["key", "check", "size"])
-    verdicts = placed.join(decided, "key", "left").withColumn("whole", F.col("doc") > F.col("head")).filter(
-        "whole or spans is not null").select("doc", "key", "whole", F.when(~F.col("whole"), F.col("spans")).alias("spans"))
-    out = keyed.join(verdicts, ["doc", "key"], "left").select("doc_id", "text", "whole", "spans")
+    spans = cut_lineage(sent.groupBy("bucket").applyInPandas(mark(length, anchor), "key bigint, span bigint"), "spans")
+    decided = spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    # One row per text that has copies or loses something; written, so that hot texts are joined in parts.
+    heads = light.filter(F.col("size") >= length).groupBy("key", "check", "size").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("rows"))
+    verdicts = cut_lineage(heads.join(decided, "key", "left").filter("rows > 1 or spans is not null").select(
+        F.col("key").alias("_key"), F.col("check").alias("_check"), F.col("size").alias("_size"), "head", "spans"), "verdicts")
+    same = (F.col("key") == F.col("_key")) & (F.crc32("text") == F.col("_check")) & (F.octet_length("text") == F.col("_size"))
+    whole = F.coalesce(F.col("doc") > F.col("head"), F.lit(False))
+    out = keyed.join(verdicts, same, "left").select("doc_id", "text", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans"))
     kind = read.schema["doc_id"].dataType.simpleString()
     result = out.mapInArrow(
         remove_spans, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from plumetrics.llm import suffix_dedup
@@ -55,14 +57,60 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed, bucket", [(1, 1 << 26), (2, 2000), (3, 20000)])
-def test_brute_force(frame, rows, seed, bucket):
+@pytest.mark.parametrize("seed, bucket, hot", [(1, 1 << 26, 1 << 16), (2, 2000, 1 << 16), (3, 20000, 0), (4, 2000, 2)])
+def test_brute_force(frame, rows, seed, bucket, hot):
     docs = corpus(seed)
     df = frame([(i, t, 0, "") for i, t in docs], SCHEMA).repartition(5)
-    got = suffix_dedup.deduplicate(df, bucket_text=bucket, with_bytes=False)
+    got = suffix_dedup.deduplicate(df, bucket_text=bucket, hot_texts=hot, with_bytes=False)
     assert rows(got) == brute(docs)
 
 
+def batch_of(docs):
+    return pa.RecordBatch.from_pydict({"text": [t for _, t in docs]})
+
+
+def marked(docs, buckets, hot_texts=1 << 16):
+    """(bytes that list the anchors, rows of the repeated anchors, rows of the spans) of one portion in plain numpy."""
+    listed = list(suffix_dedup.list_anchors(buckets, 50, 20)(iter([batch_of(docs)])))
+    n_bytes = sum(len(v.as_py()) for batch in listed for c in batch.columns[1:] for v in c)
+    found = pd.concat([suffix_dedup.repeated_anchors(hot_texts)(b.to_pandas()) for b in listed])
+    by_key = found.groupby("key")["hash"].apply(list)
+    keys = [suffix_dedup.text_key((t or "").encode()) for _, t in docs]
+    keys = np.array(keys, np.uint64).view(np.int64)
+    batch = pa.RecordBatch.from_pydict({"doc": np.arange(len(docs)), "key": keys, "text": [t for _, t in docs],
+                                        "hashes": pa.array([by_key.get(k, []) for k in keys], pa.list_(pa.int64()))})
+    sent = list(suffix_dedup.send_contexts(buckets, 50, 20)(iter([batch])))
+    spans = pd.concat([suffix_dedup.mark(50, 20)(b.to_pandas()) for b in sent])
+    return n_bytes, len(found), spans, [len(b.column("windows")[0].as_py()) for b in sent]
+
+
+def test_work_does_not_grow_with_buckets():
+    docs = [(i, t) for i, t in enumerate(dict.fromkeys(t for _, t in corpus(6) if t))]
+    bytes4, anchors4, spans4, _ = marked(docs, 4)
+    bytes64, anchors64, spans64, _ = marked(docs, 64)
+    assert bytes64 <= 1.2 * bytes4 and anchors64 == anchors4 and len(spans64) <= 1.2 * len(spans4)
+    assert len(spans4) > 100
+
+
+def test_hot_anchor_is_divided():
+    """One anchor in many different surroundings goes to many buckets."""
+    rnd = random.Random(7)
+    common = min((noise(rnd, 20, "abcdefgh") for _ in range(2000)), key=lambda x: int(suffix_dedup.rolling(np.frombuffer(x.encode(), np.uint8), 20)[0]))
+    docs = [(i, noise(rnd, 31, "abcdefgh") + common + noise(rnd, 31, "abcdefgh")) for i in range(600)]
+    whole, divided = (max(marked(docs, 64, hot)[3]) for hot in (1 << 16, 100))
+    assert whole >= 500 and divided < whole / 4
+
+
+def test_long_text(frame, rows):
+    rnd = random.Random(8)
+    body = noise(rnd, 5_000_000)
+    docs = [(1, body), (2, "x" + body[1_000_000:1_000_400] + "y"), (3, body[:2_000_000] + "z" * 500)]
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicate(frame([(i, t, 0, "") for i, t in docs], SCHEMA), with_bytes=False).collect()}
+    assert got[1]["n_removed"] == 0
+    assert got[2]["n_removed"] == len(body[1_000_000:1_000_400].encode()) and got[2]["n_spans"] == 1
+    assert got[3]["n_removed"] == len(body[:2_000_000].encode()) and got[3]["n_spans"] == 1
+
+
 def test_small_chunks(monkeypatch):
     """The interval expansion gives the same whatever the chunks."""
     rnd = random.Random(5)
