@@ -241,15 +241,16 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": _url_sql(),
     # Every score of every query, without cutoffs.
     "op2_topk_search": """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+WITH v AS MATERIALIZED (
+  SELECT vec_id, e, row_number() OVER () AS no FROM (
+    SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
     CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id IS NOT NULL AND c.no <> q.no),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
     vec_id, score FROM scored)
-SELECT * FROM ranked WHERE rank <= 20""",
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }

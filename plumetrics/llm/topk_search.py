@@ -18,7 +18,7 @@ LISTS = 4
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 SCALE = 64
 NO_CUTOFF = -(1 << 63)
-BLOCK = "block long, ids binary, width int, matrix binary"
+BLOCK = "block long, ids binary, rows binary, width int, kind string, matrix binary"
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
@@ -33,27 +33,31 @@ def usable(vector: Column) -> Column:
 
 
 def blocks(rows: DataFrame, count: int, per_block: int) -> tuple[DataFrame, int]:
-    """(id, vector) -> rows of (block, ids, width, matrix of int64), about ``per_block`` vectors each; their number."""
+    """(id, row, vector) -> blocks of about ``per_block`` vectors each, in the narrowest whole numbers; their number."""
     number = piece_count(count, per_block)
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
+        part = part.sort_values(["id", "row"])
         width = max((len(v) for v in part["vector"]), default=0)
         matrix = np.zeros((len(part), width), np.int64)
         for i, v in enumerate(part["vector"]):
             matrix[i, : len(v)] = v
-        return pd.DataFrame({"block": [key[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "width": [width],
-                             "matrix": [matrix.tobytes()]})
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)))
+        low, high = matrix.min(initial=0), matrix.max(initial=0)
+        narrow = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        return pd.DataFrame({
+            "block": [key[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()],
+            "width": [width], "kind": [np.dtype(narrow).str], "matrix": [matrix.astype(narrow).tobytes()]})
+
+    # By row, so that no block grows with the rows of one id.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number)))
     return cut_lineage(dealt.groupBy("block").applyInPandas(pack, BLOCK), "blocks"), number
 
 
-def unpacked(ids: bytes, width: int, matrix: bytes, to_width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix, padded with zeros to ``to_width`` columns."""
-    ids = np.frombuffer(ids, np.int64)
-    matrix = np.frombuffer(matrix, np.int64).reshape(len(ids), width)
-    return ids, np.pad(matrix, ((0, 0), (0, to_width - width)))
+def unpacked(ids: bytes, rows: bytes, width: int, kind: str, matrix: bytes, to_width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row numbers and matrix, padded with zeros to ``to_width`` columns."""
+    ids, rows = (np.frombuffer(x, np.int64) for x in (ids, rows))
+    matrix = np.frombuffer(matrix, kind).reshape(len(ids), width).astype(np.int64)
+    return ids, rows, np.pad(matrix, ((0, 0), (0, to_width - width)))
 
 
 def partial_scores(queries: np.ndarray, rows: np.ndarray, lists: int) -> np.ndarray:
@@ -112,6 +116,7 @@ def best(rows: DataFrame, by: list[str], block: str, blocks: int, entry: Column,
 def top_k(
     rows: DataFrame, is_query: Column, k: int = K, lists: int = LISTS, query_block: int = QUERY_BLOCK,
     row_block: int = ROW_BLOCK, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE,
+    query_rows: bool = False,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query with all other rows.
 
@@ -122,62 +127,67 @@ def top_k(
     that can reach theirs and resolves them exactly. Equal scores go by smaller vec_id.
 
     Vectors that are null or hold null, NaN or infinite components take no part, nor do rows whose id is null.
-    Vectors of different length are compared as if padded with zeros. Rows that repeat an id are one row, the one
-    with the least vector. A query gets fewer than k rows only if there are no more; with no other row it has none.
+    Vectors of different length are compared as if padded with zeros. Equal rows are one row.
+    Rows that repeat an id with another vector are candidates, and if asked for queries, of their own: a query meets all
+    rows but itself, and each query of an id has its ``k`` rows (``query_rows`` adds a number that tells them apart).
+    A query gets fewer than k rows only if there are no more; with no other row it has none.
     An empty table gives an empty result. The query set meets all rows in blocks of fixed size, by a join on the pair
     of block numbers: the work is queries times rows, the memory of a task one pair of blocks.
     """
     read = rows.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("bigint").alias("id"), quantized(F.col(vector), scale).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asked"))
-    read = cut_lineage(read.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")), "vectors")
+    different = read.groupBy("id", "vector").agg(F.max("asked").alias("asked"))
+    read = cut_lineage(different.withColumn("row", F.monotonically_increasing_id()), "vectors")
     size = read.agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"), F.max(F.size("vector")).alias("w")).first()
     width = size["w"] or 0
     row_blocks, n_rows = blocks(read, size["n"], row_block)
     query_blocks, n_queries = blocks(read.filter("asked"), size["asked"], query_block)
-    q = query_blocks.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"),
-                            F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<bigint>")).alias("rb"))
-    r = row_blocks.select(F.col("block").alias("rb"), "ids", "width", "matrix",
+    own = ("ids", "rows", "width", "kind", "matrix")
+    q = query_blocks.select(F.col("block").alias("qb"), *[F.col(c).alias(f"q_{c}") for c in own],
+                            F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<bigint>")).alias("rb"))
+    r = row_blocks.select(F.col("block").alias("rb"), *own,
                           F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>")).alias("qb"))
     pairs = q.join(r, ["qb", "rb"])
 
     def each(part: pd.DataFrame):
         for x in part.itertuples():
-            q_ids, q_matrix = unpacked(x.q_ids, x.q_width, x.q_matrix, width)
-            ids, matrix = unpacked(x.ids, x.width, x.matrix, width)
-            yield x, q_ids, ids, partial_scores(q_matrix, matrix, lists), q_ids[:, None] == ids[None, :]
+            q_ids, q_rows, q_matrix = unpacked(x.q_ids, x.q_rows, x.q_width, x.q_kind, x.q_matrix, width)
+            ids, rows, matrix = unpacked(x.ids, x.rows, x.width, x.kind, x.matrix, width)
+            yield x, q_ids, q_rows, ids, partial_scores(q_matrix, matrix, lists), q_rows[:, None] == rows[None, :]
 
     def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for x, q_ids, _, scores, same in each(part):
+            for x, _, q_rows, _, scores, same in each(part):
                 totals = local_lists(scores, same, k)
-                yield pd.DataFrame({"qb": x.qb, "rb": x.rb, "query_id": np.repeat(q_ids, [len(t) for t in totals]),
+                yield pd.DataFrame({"qb": x.qb, "rb": x.rb, "query_row": np.repeat(q_rows, [len(t) for t in totals]),
                                     "total": np.concatenate([*totals, np.zeros(0, np.int64)]).astype(np.int64)})
 
     def resolve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for x, q_ids, ids, scores, same in each(part):
-                cutoff = pd.Series(np.frombuffer(x.cutoffs, np.int64), index=np.frombuffer(x.cutoff_ids, np.int64))
-                query, row, total = above(scores, same, cutoff.reindex(q_ids, fill_value=NO_CUTOFF).to_numpy())
-                found = pd.DataFrame({"rb": x.rb, "query_id": q_ids[query], "vec_id": ids[row],
+            for x, q_ids, q_rows, ids, scores, same in each(part):
+                cutoff = pd.Series(np.frombuffer(x.cutoffs, np.int64), index=np.frombuffer(x.cutoff_rows, np.int64))
+                query, row, total = above(scores, same, cutoff.reindex(q_rows, fill_value=NO_CUTOFF).to_numpy())
+                found = pd.DataFrame({"rb": x.rb, "query_row": q_rows[query], "query_id": q_ids[query], "vec_id": ids[row],
                                       "score": total.astype(np.int64)})
-                found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                yield found.groupby("query_id").head(k)
+                found = found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True])
+                yield found.groupby("query_row").head(k)
 
-    local = pairs.mapInPandas(gather, "qb long, rb long, query_id long, total long")
-    leaders = best(local, ["qb", "query_id"], "rb", n_rows, -F.col("total"), k)
+    local = pairs.mapInPandas(gather, "qb long, rb long, query_row long, total long")
+    leaders = best(local, ["qb", "query_row"], "rb", n_rows, -F.col("total"), k)
     # With fewer than k rows in all nothing is cut off.
     cutoff = F.when(F.size("top") >= k, -F.element_at("top", k)).otherwise(F.lit(NO_CUTOFF))
 
     def cutoffs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"qb": [key[0]], "cutoff_ids": [part["query_id"].to_numpy(np.int64).tobytes()],
+        return pd.DataFrame({"qb": [key[0]], "cutoff_rows": [part["query_row"].to_numpy(np.int64).tobytes()],
                              "cutoffs": [part["cutoff"].to_numpy(np.int64).tobytes()]})
 
     per_block = cut_lineage(
-        leaders.select("qb", "query_id", cutoff.alias("cutoff")).groupBy("qb")
-        .applyInPandas(cutoffs, "qb long, cutoff_ids binary, cutoffs binary"), "cutoffs")
+        leaders.select("qb", "query_row", cutoff.alias("cutoff")).groupBy("qb")
+        .applyInPandas(cutoffs, "qb long, cutoff_rows binary, cutoffs binary"), "cutoffs")
     found = q.join(per_block, "qb").join(r, ["qb", "rb"]).mapInPandas(
-        resolve, "rb long, query_id long, vec_id long, score long")
+        resolve, "rb long, query_row long, query_id long, vec_id long, score long")
     entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))
-    return best(found, ["query_id"], "rb", n_rows, entry, k).select("query_id", F.posexplode("top").alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    top = best(found, ["query_row", "query_id"], "rb", n_rows, entry, k)
+    return top.select("query_row", "query_id", F.posexplode("top").alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"), *(["query_row"] if query_rows else []))
