@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumetrics.session import scratch_path
+from plumetrics.session import broadcast_if_small, cut_lineage_counted, scratch_path
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 LEDGER = "blob string, rule string, version int, spans array<struct<start:bigint,end:bigint>>"
@@ -46,30 +46,59 @@ MORE = (
 RULES = (*BASE, *MORE)
 
 
+CHUNK = 256
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values`` (numbers) the fold of those before it, from ``zero``; ``step`` is associative.
+
+    A fold that appends copies its list each time, so lists are folded in chunks, and the chunks' own folds added.
+    """
+    nothing = F.array().cast("array<bigint>")
+    first = F.lit(zero).cast("bigint")
+
+    def fold(some: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), nothing.alias("out"))
+        return F.aggregate(some, state, lambda done, x: F.struct(
+            step(done["at"], x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
+
+    def joined(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, first, step))
+        return F.flatten(F.zip_with(chunks, fold(sums, first), fold))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(CHUNK))
+        return F.transform(starts, lambda i: F.slice(v, i, F.lit(CHUNK)))
+
+    return once(once(values, cut), joined)
+
+
 def spans_of(rule: Rule, text: Column) -> Column:
     """(start, end) of the matches in code points, end exclusive.
 
     ``split`` gives the stretches between the matches and ``regexp_extract_all`` the matches, in the same order; the
     lengths of both add up to the positions.
     """
-    between = F.transform(F.split(text, rule.pattern, -1), lambda s: F.char_length(s).cast("bigint"))
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    each = F.transform(
-        F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("whole"), judged.alias("own")),
-        lambda x: F.struct(x["gap"].alias("gap"), F.char_length(x["whole"]).cast("bigint").alias("size"),
-                           (F.char_length(x["own"]) >= rule.least).alias("good")),
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    lengths = lambda parts: F.transform(parts, lambda s: F.char_length(s).cast("bigint"))
+    sizes = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    judged = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else sizes
+    matched = F.arrays_zip(sizes.alias("size"), judged.alias("own"), lengths(F.split(text, rule.pattern, -1)).alias("gap"))
+
+    def placed(each: Column) -> Column:
+        # The last stretch has no match behind it.
+        done = before(F.transform(each, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), 0, lambda a, b: a + b)
+        both = F.zip_with(each, done, lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["own"].alias("own")))
+        good = F.filter(both, lambda x: x["own"] >= rule.least)
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        one = F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end")))
-        return F.struct((begin + x["size"]).alias("at"), F.when(x["good"], F.concat(done["spans"], one)).otherwise(done["spans"]).alias("spans"))
-
-    found = F.aggregate(each, start, step, lambda done: done["spans"])
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return F.when(F.rlike(text, F.lit(rule.hint)), found).otherwise(nothing)
+    return F.when(F.rlike(text, F.lit(rule.hint)), once(matched, placed)).otherwise(nothing)
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -90,19 +119,22 @@ def blob_id(text: Column) -> Column:
 def update(docs: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Ledger rows for the blobs of ``docs`` and the rule versions that ``ledger`` does not have; each is scanned once.
 
-    One row per blob and rule scanned; a rule that found nothing has no spans. Copies meet in the deduplication by
-    blob, which combines within tasks first, so a text is moved once per task, however many copies there are.
+    One row per blob and rule scanned; a rule that found nothing has no spans. With a ledger, blob ids alone are
+    compared with it, and only texts of unseen blobs are read on: the ids are sent to the texts if they are few. Copies
+    meet in the deduplication by blob, which combines within tasks first, so a text is moved once per task, however
+    many copies there are.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    blobs = docs.select(F.sha2(body, 256).alias("blob"), body.alias("text")).dropDuplicates(["blob"])
+    blobs = docs.select(F.sha2(body, 256).alias("blob"), body.alias("text"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     if ledger is None:
-        return scan_blobs(blobs.withColumn("unseen", kinds), rules)
+        return scan_blobs(blobs.dropDuplicates(["blob"]).withColumn("unseen", kinds), rules)
     current = ledger.filter(F.concat_ws(":", "rule", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
     seen = current.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    unseen = blobs.join(seen, "blob", "left").withColumn(
-        "unseen", F.array_except(kinds, F.coalesce("seen", F.array().cast("array<string>"))))
-    return scan_blobs(unseen.filter(F.size("unseen") > 0), rules)
+    missing = F.array_except(kinds, F.coalesce("seen", F.array().cast("array<string>")))
+    unseen, n_unseen = cut_lineage_counted(blobs.select("blob").distinct().join(seen, "blob", "left").select(
+        "blob", missing.alias("unseen")).filter(F.size("unseen") > 0), "unseen-blobs")
+    return scan_blobs(blobs.join(broadcast_if_small(unseen, n_unseen), "blob").dropDuplicates(["blob"]), rules)
 
 
 def findings(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -123,7 +155,8 @@ def scan(
     kept in the scratch folder of the session. Every row of ``docs`` is a version under some path; blobs that the
     ledger knows for a rule's version are not scanned again, and findings are joined back to all rows. Positions are
     code points. Null text is empty text; both, and texts without a secret, have an empty ``found``. Repeated rows
-    share a blob and its findings; an empty table gives an empty result. Columns named blob or found are replaced.
+    share a blob and its findings; spans that begin together go by rule order. Long texts take time in proportion to
+    their length and matches. An empty table gives an empty result. Columns named blob or found are replaced.
     """
     spark = docs.sparkSession
     path = ledger_path or scratch_path(spark, "ledger")
@@ -133,8 +166,12 @@ def scan(
         spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
         known = spark.read.schema(LEDGER).parquet(path)
     update(docs, known, rules, text).write.mode("append").parquet(path)
-    found = findings(spark.read.schema(LEDGER).parquet(path), rules)
     marked = docs.drop("blob", "found").withColumn("blob", blob_id(F.col(text)))
+    entries = spark.read.schema(LEDGER).parquet(path)
+    if ledger_path:
+        # Other corpora may have filled it.
+        entries = entries.join(marked.select("blob").distinct(), "blob", "left_semi")
+    found = findings(entries, rules)
     return marked.join(found, "blob", "left").select(
         *[marked[c] for c in marked.columns],
         F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"),
@@ -150,14 +187,9 @@ def listed(found: Column, rules: Sequence[Rule] = RULES) -> Column:
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by ``mark``; overlapping spans are one stretch."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= done["at"], F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"),
-        )
-
-    tail = lambda done: F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, tail)).otherwise(text)
+    ends = before(F.transform(found, lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
+    cut = lambda begin, size: F.substring(text, (begin + 1).cast("int"), size.cast("int"))
+    # Of spans that overlap only the first writes the mark; the others begin before the farthest end so far.
+    pieces = F.zip_with(found, ends, lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"] - at), F.lit(mark))).otherwise(""))
+    rest = cut(F.array_max(F.transform(found, lambda s: s["end"])), F.char_length(text))
+    return F.when(F.size(found) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
