@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumetrics.llm.common import free_name
+
 
 PROFILE = 400
 SAMPLE_PER_LANGUAGE = 2000
@@ -58,8 +60,9 @@ def learn(
 ) -> dict[str, list[int]]:
     """Language -> its most frequent n-grams, from about ``per_language`` training documents of each language.
 
-    Rows count when ``training`` holds and lang is not null. The sample is drawn by a hash of the id, so it does not
-    depend on partitions; its bound keeps the profiles' input fixed. Only profiles (languages x ``profile`` numbers)
+    Rows count when ``training`` holds and lang is not null. The sample is drawn by a hash of id and text, so it does
+    not depend on partitions and the bound holds for repeated and null ids too; equal rows count once. The bound keeps
+    the profiles' input fixed. Only profiles (languages x ``profile`` numbers)
     reach the driver. With no training rows the result is empty.
     """
     known = docs.filter(training & F.col(lang).isNotNull()).select(
@@ -68,7 +71,7 @@ def learn(
     if not sizes:
         return {}
     whole = 1 << 30
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(whole))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(whole))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(whole, whole * per_language // n + 1))])
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +85,7 @@ def learn(
                     yield pd.DataFrame({"lang": name, "code": codes, "n": n})
 
     counted = (
-        known.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+        known.filter(draw < F.element_at(share, F.col("lang"))).dropDuplicates(["id", "lang", "text"]).select("lang", "text")
         .mapInPandas(count, "lang string, code bigint, n bigint")
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     )
@@ -141,5 +144,6 @@ def predict(
     stands alone, so repeated rows and empty tables need no care, and there is no shuffle. Columns named like the
     two outputs are replaced.
     """
-    found = docs.withColumn("_found", identify(profiles)(F.col(text)))
-    return found.withColumns({lang_out: F.col("_found.lang"), score_out: F.col("_found.score")}).drop("_found")
+    own = free_name(docs, "_found")
+    found = docs.withColumn(own, identify(profiles)(F.col(text)))
+    return found.withColumns({lang_out: F.col(f"{own}.lang"), score_out: F.col(f"{own}.score")}).drop(own)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumetrics.llm.common import free_name
+
 # Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝвкмнтАЕОРСУХІЈЅВКМНТαεορυικντΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
                       "aeopcyxijsdhqwbkmhtaeopcyxijsbkmhtaeopuikvtabezhikmnoptyx"))
@@ -106,8 +110,16 @@ class Matcher:
                             spared.append((start, end))
                     elif (stem or whole) and weight > best.get(start, (0, 0.0))[1]:
                         best[start] = (end, weight)
-        hits = [w for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in spared)] if spared else [
-            w for _, w in best.values()]
+        spared.sort()
+        begins = [x for x, _ in spared]
+        # The farthest end of the exceptions that begin up to here.
+        ends = list(accumulate((y for _, y in spared), max))
+
+        def free(begin: int, end: int) -> bool:
+            at = bisect_right(begins, begin)
+            return not at or ends[at - 1] < end
+
+        hits = [w for a, (b, w) in best.items() if free(a, b)]
         return sum(hits) / math.log2(8 + text.count(" ")), len(hits)
 
 
@@ -117,8 +129,9 @@ def learn(
 ) -> Lexicon:
     """Weighted terms and calibration from about ``toxic_sample`` and ``clean_sample`` labelled training documents.
 
-    ``training`` is a condition on ``docs``. The sample is drawn by a hash of the id; its bound makes everything
-    below a fixed amount of work. A term is a word or a stem of 4 to 7 letters. It is kept if toxic documents hold it
+    ``training`` is a condition on ``docs``. The sample is drawn by a hash of id and text, so the bound holds for
+    repeated ids too; equal rows count once. The bound makes everything below a fixed amount of work. At most ``terms``
+    terms are kept, those with the most evidence. A term is a word or a stem of 4 to 7 letters. It is kept if toxic documents hold it
     at least ``LEAST_RATIO`` times as often as clean ones and the log-likelihood ratio is at least
     ``LEAST_EVIDENCE``; its weight is the logarithm of the smoothed ratio. ``seeds`` are terms from the start; one that
     clean documents of the sample hold as often as toxic ones is dropped. Rows whose label is null are left out, and
@@ -127,18 +140,18 @@ def learn(
     """
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("toxic"))
-    known = docs.filter(training).select(F.col(doc_id).alias("_id")).distinct().join(marks, "_id")
+    whole = 1 << 30
+    row = F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("_row")
+    rows = docs.filter(training).select(F.col(doc_id).alias("_id"), row, F.col(text).alias("text"))
+    known = rows.select("_id", "_row").distinct().join(marks, "_id")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon({}, -4.0, 0.0)
-    whole = 1 << 30
-    draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(whole))
     share = F.when(F.col("toxic") == 1, min(whole, whole * toxic_sample // sizes[1] + 1)).otherwise(
         min(whole, whole * clean_sample // sizes[0] + 1))
-    chosen = known.filter(draw < share)
-    # The sample is bounded by the parameters, and so is the set of ids that is sent to every task.
-    sample = docs.filter(training).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(
-        F.broadcast(chosen), "_id").select("toxic", "text")
+    # The sample is bounded by the parameters, and so is the set of rows that is sent to every task.
+    chosen = known.filter(F.pmod("_row", F.lit(whole)) < share)
+    sample = rows.join(F.broadcast(chosen), ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select("toxic", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -209,9 +222,10 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", exceptions: Seq
         for part in parts:
             yield pd.DataFrame([matcher(t or "") for t in part], columns=["strength", "n_hits"])
 
-    found = docs.withColumn("_found", match(F.col(text)))
-    value = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("_found.strength"))))
+    own = free_name(docs, "_found")
+    found = docs.withColumn(own, match(F.col(text)))
+    value = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col(f"{own}.strength"))))
     return found.withColumns({
-        "score": value, "predicted": (value >= 0.5).cast("int"), "strength": F.col("_found.strength"),
-        "n_hits": F.col("_found.n_hits"),
-    }).drop("_found")
+        "score": value, "predicted": (value >= 0.5).cast("int"), "strength": F.col(f"{own}.strength"),
+        "n_hits": F.col(f"{own}.n_hits"),
+    }).drop(own)

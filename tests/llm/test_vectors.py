@@ -3,12 +3,15 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumetrics.llm import embedding_dedup, topk_search
 from plumetrics.llm.common import table
+from plumetrics.llm.queries import ORACLES
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank string, key int"
 ODD = [(900, None, 1, "", 0), (901, [1.0, None], 1, "", 0), (902, [float("nan"), 1.0], 1, "", 0),
@@ -146,3 +149,20 @@ def test_whole_tables(spark, rows, sf_dir):
     want = brute_links(data)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op4_embedding_dedup"](spark, sf_dir).collect()}
     assert got == want
+
+
+def test_top_k_keeps_rows_that_repeat_an_id(spark, frame, rows):
+    data = [(1, [0.5, 0.0]), (1, [1.0, 0.0]), (2, [0.75, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [-1.0, 2.0])]
+    df = frame([(i, v, 1, "", 0) for i, v in data], SCHEMA)
+    got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, query_rows=True)
+    assert (20, 1, 1, 4096) in rows(got.drop("query_row")) and got.select("query_row").distinct().count() == 2
+    connection = duckdb.connect()
+    connection.register("embeddings", pa.table({"vec_id": [i for i, _ in data], "embedding": [v for _, v in data]}))
+    assert rows(got.drop("query_row")) == sorted(connection.execute(ORACLES["op2_topk_search"]).fetchall(), key=repr)
+
+
+def test_links_of_tiny_and_huge_vectors(frame):
+    data = [(1, [1e-200, 0.0]), (2, [3e-200, 1e-202]), (3, [1e200, 0.0]), (4, [2e200, 1e198]), (5, [0.0, 1e-200]), (6, [5e-324, 0.0]), (7, [0.0, 1.7e308])]
+    got = embedding_dedup.near_duplicates(frame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, label int")).collect()
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
+    assert found == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 6: (4, 1), 5: (1, 5), 7: (1, 5)}
