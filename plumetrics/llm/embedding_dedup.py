@@ -218,8 +218,9 @@ def near_duplicates(
     # -0.0 and 0.0 one value.
     size = F.array_max(F.transform("vector", lambda x: F.abs(x)))
     shift = F.pow(F.lit(2.0), F.greatest(F.lit(-1000), F.least(F.lit(1000), -F.floor(F.log2(size)))))
-    linked = read.filter("good").withColumn("_shift", shift).withColumn(
-        "vector", F.transform("vector", lambda x: x * F.col("_shift") + F.lit(0.0))).drop("_shift")
+    # The shift is an element of an array, so it is worked out once a vector, not once a component.
+    moved = F.transform(F.array(shift), lambda s: F.transform("vector", lambda x: x * s + F.lit(0.0)))
+    linked = read.filter("good").withColumn("vector", F.element_at(moved, 1))
     ids = linked.groupBy("label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     # Numbered while they are written, so a key is one class beyond doubt.
     classes = cut_lineage(ids.withColumn("key", F.monotonically_increasing_id()), "classes")
