@@ -384,6 +384,7 @@ def _sql() -> dict[str, str]:
 
     return {
         "scan_csv_city": _with(f"SELECT {city_cells} FROM city_year", "city_year"),
+        "scan_csv_reordered": _with(f"SELECT {city_cells} FROM city_year", "city_year"),
         "scan_parquet": f"SELECT o_orderkey, o_custkey, {_r('o_totalprice')}, o_orderdate FROM orders",
         "ingest_gate": _with(
             f"SELECT sounding_id, {_r('latitude')}, {_r('longitude')}, {_r('xco2')}, datetime, month, datetime_text, local_time, "

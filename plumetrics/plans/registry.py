@@ -123,6 +123,17 @@ def scan_csv_city(spark, d):
     return readers.read_csv(spark, folder, renamed).withColumnRenamed("xco2.ppm", "xco2_ppm")
 
 
+@query
+def scan_csv_reordered(spark, d):
+    """Two deliveries of the city table in one folder: the columns of the second are reversed, with one more."""
+    folder = scratch_path(spark, "city-deliveries")
+    cities, first = standins.city_year(spark, d), F.pmod(F.xxhash64("city"), F.lit(2)) == 0
+    cities.filter(first).write.option("header", True).csv(f"{folder}/delivery=1")
+    later = cities.filter(~first).select(*reversed(cities.columns), F.lit("late").alias("remark"))
+    later.write.option("header", True).csv(f"{folder}/delivery=2")
+    return readers.read_csv(spark, folder, schemas.CITY_YEAR)
+
+
 @query
 def scan_parquet(spark, d):
     return readers.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])

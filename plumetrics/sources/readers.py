@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +16,8 @@ from plumetrics.functions.dates import month_start
 from plumetrics.functions.scalars import clean_text, composite_key, finite_or_null, is_finite, parse_number, parse_time
 
 UNKNOWN_CITY = "Unknown"
+HEADERS_AT_A_TIME = 32
+PATTERN_SIGNS = re.compile(r"[*?\[\]{}\\]")
 
 
 def clean_header(names: Iterable[str]) -> list[str]:
@@ -38,12 +43,52 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Headered CSV matched to ``schema`` by cleaned header name; blank, NA or unreadable values are NULL.
 
-    The files of a folder must agree on the order of the columns that are read: another header is an error.
+    ``path`` is a file, a folder or a pattern. Its files may have their columns in any order, and further columns:
+    files of one header are one scan, and the scans are united by name. A file that lacks a column of ``schema`` is an
+    error; files without a header line hold no rows.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
-    raw = raw.toDF(*clean_header(raw.columns))
-    require_columns(raw, schema.names)
-    return raw.select(*[_typed(f).alias(f.name) for f in schema.fields])
+    scans, base = [], _base_path(spark, path)
+    for files in headers_of(spark, path).values():
+        raw = _csv_reader(spark, base).csv(files)
+        raw = raw.toDF(*clean_header(raw.columns))
+        missing = [n for n in schema.names if n not in raw.columns]
+        if missing:
+            raise ValueError(f"missing columns {missing} in {files[0]}; found {raw.columns}")
+        scans.append(raw.select(*[_typed(f).alias(f.name) for f in schema.fields]))
+    if not scans:
+        raise ValueError(f"missing columns {schema.names}; no file with a header in {path}")
+    return reduce(DataFrame.unionByName, scans)
+
+
+def headers_of(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by the cleaned names of their header; empty files are left out.
+
+    Only the first line of a file is read, by a one-task job each; some tens of them run at a time.
+    """
+    files = _files(spark, path)
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
+        for file, header in zip(files, pool.map(lambda f: _csv_reader(spark).csv(f).columns, files)):
+            if header:
+                found.setdefault(tuple(clean_header(header)), []).append(file)
+    return found
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files below ``path``, as path patterns that name one file each."""
+    return sorted(PATTERN_SIGNS.sub(lambda m: "\\" + m[0], unquote(f)) for f in spark.read.text(path).inputFiles())
+
+
+def _base_path(spark: SparkSession, path: str) -> str | None:
+    """``path`` if it is a folder: partition columns of files below it are then kept when they are read one by one."""
+    files = _files(spark, path)
+    single = len(files) == 1 and files[0].endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])
+    return None if single or PATTERN_SIGNS.search(path) else path
+
+
+def _csv_reader(spark: SparkSession, base: str | None = None) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+    return reader.option("basePath", base) if base else reader
 
 
 def read_text_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -52,7 +97,7 @@ def read_text_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def _typed(field: T.StructField) -> Column:
-    text = F.nullif(F.col(f"`{field.name}`"), F.lit("NA"))
+    text = F.nullif(F.col(f"`{field.name}`").cast("string"), F.lit("NA"))
     if isinstance(field.dataType, T.StringType):
         return text
     typed = F.trim(text).try_cast(field.dataType)

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumetrics.plans import pipelines
 from plumetrics.session import cut_lineage_counted, scratch_root
@@ -28,6 +29,39 @@ def test_csv_by_name_with_missing_values(spark, tmp_path):
         readers.read_csv(spark, str(path), schemas.NO2_FILE)
 
 
+def test_csv_files_of_other_headers_are_read_by_name(spark, tmp_path):
+    schema = "city string, xco2 double, `site.name` string"
+    want = T.StructType.fromDDL(schema)
+    folder = tmp_path / "in [1]"
+    for day, name, text in (
+        (1, "a.csv", "city,xco2,Site Name\nRome,1.5,r\n".replace("Site Name", "site name")),
+        (1, "b b.csv", "site name,extra,xco2,city\np,9,NA,Paris\n"),
+        (2, "c.csv", "xco2,city,site name\n2.5,Oslo,\n"),
+        (2, "d%20.csv", "city,xco2,site name\n"),
+        (2, "empty.csv", ""),
+    ):
+        (folder / f"day={day}").mkdir(parents=True, exist_ok=True)
+        (folder / f"day={day}" / name).write_text(text)
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    got = readers.read_csv(spark, path, want)
+    rows = [("Oslo", 2.5, None), ("Paris", None, "p"), ("Rome", 1.5, "r")]
+    assert sorted(map(tuple, got.collect())) == rows and got.schema.names == want.names
+    assert len(readers.headers_of(spark, path)) == 3
+    plain = tmp_path / "plain"
+    for file in folder.rglob("*.csv"):
+        (plain / file.parent.name).mkdir(parents=True, exist_ok=True)
+        (plain / file.parent.name / file.name).write_text(file.read_text())
+    dated = readers.read_csv(spark, str(plain), T.StructType.fromDDL("city string, day int")).collect()
+    assert sorted(map(tuple, dated)) == [("Oslo", 2), ("Paris", 1), ("Rome", 1)]
+    (plain / "day=1" / "lacks.csv").write_text("city,site name\nBern,x\n")
+    with pytest.raises(ValueError, match="missing columns .*xco2.*lacks.csv"):
+        readers.read_csv(spark, str(plain), want)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="no file with a header"):
+        readers.read_csv(spark, str(tmp_path / "none"), want)
+
+
 def test_parquet_scan_prunes_and_drops_nan(spark, frame, tmp_path, capsys):
     path = str(tmp_path / "p")
     frame([(1, float("nan"), "x"), (2, 1.5, "y")], "id bigint, v double, s string").write.parquet(path)
