@@ -11,10 +11,13 @@ unsettled pairs are looked into, by halving both cells until few enough location
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumetrics.functions.scalars import KEY_SEPARATOR, is_finite, number, widen_if_flat
 from plumetrics.operators.quantiles import keyed_join
@@ -25,6 +28,8 @@ LINK_DEG = 0.08
 # Cell pairs with at most this many location pairs are compared location by location.
 COMPARE_LIMIT = 4096
 LEAF_LOCATIONS = 64
+# At most this many links between places are joined to clusters in one task (some tens of MB).
+LINKS_IN_HAND = 200_000
 # Distances that agree to this many decimals count as equal.
 TIE_DECIMALS = 12
 SLACK = 1e-9
@@ -150,20 +155,23 @@ def _place_links(locations: DataFrame, places: DataFrame, link_deg: float, compa
     others = places.select(F.col("time"), F.col("row").alias("to_row"), F.col("col").alias("to_col"),
                            *[F.col(c).alias(f"b_{c}") for c in ("place", *BOX)])
     pairs = keyed_join(keyed, others, ["time", "to_row", "to_col"])
-    settled = cut_lineage(_settle(pairs, link_deg).drop("to_row", "to_col"), "place-pairs")
+    few = F.col("a_n") * F.col("b_n") <= compare_limit
+    settled, n_large = cut_lineage_counted(
+        _settle(pairs, link_deg).drop("to_row", "to_col"), "place-pairs", only=~(F.col("linked") | few))
     linked = settled.filter("linked").select("time", "a_place", "b_place")
 
-    # Locations by place, for looking into unsettled pairs.
+    # Locations by place, for looking into unsettled pairs; every level of halving reads them again.
     membership = keyed_join(locations, places.select("time", "row", "col", "place"), ["time", "row", "col"])
+    if n_large:
+        membership = cut_lineage(membership, "locations-by-place")
     open_pairs = settled.filter(~F.col("linked")).drop("linked", *[f"{s}_{c}" for s in "ab" for c in BOX[:4]])
     open_pairs = open_pairs.withColumns({f"{s}_{c}": F.lit(0).cast("bigint") for s in "ab" for c in ("r", "c")})
     level = 0
     found = [linked]
     while True:
-        few = F.col("a_n") * F.col("b_n") <= compare_limit
         found.append(_compare(open_pairs.filter(few), membership, side, level, link_deg))
         open_pairs = open_pairs.filter(~few)
-        if open_pairs.isEmpty():
+        if not n_large:
             break
         level += 1
         halves = _boxes(_at_level(membership, side, level), "place", "r", "c")
@@ -182,7 +190,7 @@ def _place_links(locations: DataFrame, places: DataFrame, link_deg: float, compa
             *[F.col(f"{s}_next_{k}").alias(f"{s}_{k}") for s in "ab" for k in "rc"],
             *[F.col(f"{s}_box_{c}").alias(f"{s}_{c}") for s in "ab" for c in BOX],
         )
-        settled = cut_lineage(_settle(split, link_deg), "halved-pairs")
+        settled, n_large = cut_lineage_counted(_settle(split, link_deg), "halved-pairs", only=~(F.col("linked") | few))
         done = settled.filter("linked").select("time", "a_place", "b_place").distinct()
         found.append(done)
         open_pairs = settled.filter(~F.col("linked")).drop("linked", *[f"{s}_{c}" for s in "ab" for c in BOX[:4]])
@@ -227,9 +235,11 @@ def _compare(pairs: DataFrame, membership: DataFrame, side: float, level: int, l
     return pairs.filter(near).select("time", "a_place", "b_place").distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, in_hand: int = 0) -> DataFrame:
     """(node, root) for every node of the undirected ``links`` (a, b); root is any node of the component.
 
+    Once at most ``in_hand`` links are left, one task joins them outright: the same components in fewer rounds.
+
     Every round each node joins the neighbour that comes first in a random order drawn for that round, and the
     links between the joined nodes go on to the next round. The links shrink by a constant factor on average,
     whatever the shape of the components (Boegeholz, Brand and Todor, 2020).
@@ -237,6 +247,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     links, left = cut_lineage_counted(links.select("a", "b"), "links")
     steps: list[DataFrame] = []
     while left:
+        if left <= in_hand:
+            few = links.select("a", "b").coalesce(1).mapInArrow(_joined_in_hand, _step_schema(links))
+            steps.append(cut_lineage(few, "step"))
+            break
         salt = F.lit(len(steps))
 
         def place(node: str) -> Column:
@@ -263,8 +277,34 @@ def connected_components(links: DataFrame) -> DataFrame:
     return result
 
 
+def _step_schema(links: DataFrame) -> T.StructType:
+    kind = links.schema["a"].dataType
+    return T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+
+
+def _joined_in_hand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links of all ``parts``, by joining trees of nodes."""
+    above: dict = {}
+
+    def top(node):
+        while (up := above.setdefault(node, node)) != node:
+            above[node] = node = above[up]
+        return node
+
+    kind = None
+    for part in parts:
+        kind = part.schema.field("a").type
+        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+            above[top(a)] = top(b)
+    if kind is not None:
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, kind), pa.array([top(n) for n in nodes], kind)], names=["node", "root"])
+
+
 def spatial_clusters(
-    points: DataFrame, time: str, point_id: str, link_deg: float = LINK_DEG, compare_limit: int = COMPARE_LIMIT
+    points: DataFrame, time: str, point_id: str, link_deg: float = LINK_DEG, compare_limit: int = COMPARE_LIMIT,
+    links_in_hand: int = LINKS_IN_HAND,
 ) -> DataFrame:
     """``points`` with ``cluster_id``: connected groups of points of one timestamp within ``link_deg``.
 
@@ -273,7 +313,7 @@ def spatial_clusters(
     """
     locations = cut_lineage(located(points, time, point_id, link_deg), "locations")
     places = cut_lineage(_boxes(locations, "time", "row", "col", extra=(F.min("loc").alias("place"),)), "places")
-    roots = connected_components(_place_links(locations, places, link_deg, compare_limit))
+    roots = connected_components(_place_links(locations, places, link_deg, compare_limit), links_in_hand)
     roots = cut_lineage(roots, "roots")
     seeds = roots.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("cluster_id"))
     named = roots.join(seeds, "root").select(F.col("node").alias("place"), "cluster_id")

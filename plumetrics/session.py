@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,15 +75,16 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return cut_lineage_counted(df, label)[0]
 
 
-def cut_lineage_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
-    """Like ``cut_lineage``, with the number of rows, counted while they are written.
+def cut_lineage_counted(df: DataFrame, label: str = "step", only: Column | None = None) -> tuple[DataFrame, int]:
+    """Like ``cut_lineage``, with the number of rows (for which ``only`` is true), counted while they are written.
 
     The shuffle files behind the table are dropped as soon as it is written: nothing reads them again.
     """
     path = scratch_path(df.sparkSession, label)
     seen = Observation()
     with shuffles_freed(df.sparkSession):
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        n_rows = F.count(F.lit(1)) if only is None else F.count_if(only)
+        df.observe(seen, n_rows.alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 

@@ -64,10 +64,10 @@ def points(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("compare_limit", [4096, 1])
-def test_clusters_equal_union_find(frame, compare_limit):
+@pytest.mark.parametrize("compare_limit, in_hand", [(4096, 0), (1, 10), (1, 100_000)])
+def test_clusters_equal_union_find(frame, compare_limit, in_hand):
     rows = points()
-    got = geo.spatial_clusters(frame(rows, SCHEMA), "t", "pid", compare_limit=compare_limit)
+    got = geo.spatial_clusters(frame(rows, SCHEMA), "t", "pid", compare_limit=compare_limit, links_in_hand=in_hand)
     assert {r.pid: r.cluster_id for r in got.collect()} == brute_clusters(rows)
 
 
@@ -136,10 +136,12 @@ def test_nearest_equals_scan(frame, leaf):
         assert result[q][0] == pytest.approx(v[0], abs=1e-12)
 
 
-def test_components_of_a_sorted_chain_and_star(frame):
+@pytest.mark.parametrize("in_hand", [0, 60, 1000])
+def test_components_of_a_sorted_chain_and_star(frame, in_hand):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1001 + i) for i in range(100)]
-    got = geo.connected_components(frame(chain + star, "a bigint, b bigint")).collect()
+    got = geo.connected_components(frame(chain + star, "a bigint, b bigint").repartition(5), in_hand).collect()
+    assert len(got) == 302
     roots = {}
     for r in got:
         roots.setdefault(r.root, set()).add(r.node)
