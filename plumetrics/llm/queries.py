@@ -110,13 +110,20 @@ def _url_sql() -> str:
     rule, verdict = (
         "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{getattr(r, what)}'" for r in longest) + " END"
         for what in ("name", "verdict"))
-    terms = ", ".join([*(f"('{t}', 1)" for t in url_filter.STRICT), *(f"('{t}', 0)" for t in url_filter.SOFT)])
-    hit = "regexp_matches(' ' || lower(coalesce(p.url, '')) || ' ', '[^\\p{L}\\p{N}]' || t.term || '[^\\p{L}\\p{N}]')"
+    known = url_filter.vocabulary(url_filter.STRICT, url_filter.SOFT)
+    terms = ", ".join(f"('{form}', '{term}', {int(strict)})" for form, (term, strict) in known.items())
+    # Patterns are only tried on urls that contain the form at all.
+    hit = ("CASE WHEN contains(p.words, t.form) THEN "
+           "regexp_matches(p.words, '[^\\p{L}\\p{N}]' || t.form || '[^\\p{L}\\p{N}]') ELSE false END")
     return f"""
-WITH terms(term, strict) AS (VALUES {terms}),
+WITH terms(form, term, strict) AS (VALUES {terms}),
+one AS (
+  SELECT row_number() OVER () AS no, page_id, url, ' ' || lower(url_decode(coalesce(url, ''))) || ' ' AS words FROM pages),
+found AS (SELECT p.no, t.term, t.strict FROM one p, terms t WHERE {hit}),
 hits AS (
-  SELECT p.page_id, p.url, count_if({hit} AND t.strict = 1) AS s, count_if({hit} AND t.strict = 0) AS w
-  FROM pages p, terms t GROUP BY ALL),
+  SELECT p.page_id, p.url, count(DISTINCT f.term) FILTER (f.strict = 1) AS s,
+    count(DISTINCT f.term) FILTER (f.strict = 0) AS w
+  FROM one p LEFT JOIN found f USING (no) GROUP BY p.no, p.page_id, p.url),
 h AS (
   SELECT page_id, s, w,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),

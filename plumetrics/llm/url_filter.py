@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -21,15 +22,29 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
-# Terms of one strict kind reject alone; soft ones only together.
+# One strict term rejects alone; soft ones only together. By language: English, Spanish, French, German, Italian,
+# Portuguese, Dutch, Polish, Russian, Chinese, Japanese.
 STRICT = (
-    "porn", "porno", "pornography", "xxx", "hentai", "camgirls", "escorts", "warez", "keygen", "phishing", "malware",
-    "onlinecasino", "sexcam",
+    "porn", "porno", "pornography", "xxx", "hentai", "camgirl", "escorts", "warez", "keygen", "phishing", "malware",
+    "onlinecasino", "sexcam", "pornstar", "milf", "blowjob", "bukkake", "gangbang", "cumshot", "upskirt", "deepnude",
+    "sexchat", "freesex", "livesex", "livecam", "camsex", "serialz", "cracked-apk", "spyware", "ransomware", "carding",
+    "pornografia", "putas", "follando", "pornographie", "baise", "salope", "partouze", "pornografie", "ficken", "nutten",
+    "huren", "sexkontakte", "scopare", "troie", "putaria", "buceta", "neuken", "hoeren", "seksfilm", "ruchanie",
+    "порно", "порнуха", "шлюхи", "色情", "成人视频", "エロ動画",
 )
 SOFT = (
     "adult", "bet", "betting", "casino", "crack", "dating", "escort", "erotic", "gambling", "jackpot", "nude", "nsfw",
-    "payday", "pills", "poker", "sex", "sexy", "slots", "torrent", "viagra",
+    "payday", "pills", "poker", "sex", "sexy", "slots", "torrent", "viagra", "cialis", "blackjack", "roulette", "bookmaker",
+    "lottery", "hookup", "fetish", "bdsm", "lesbian-video", "topless", "naked", "strip", "stripper", "lingerie", "swinger",
+    "webcam", "hacked", "cheats", "serial", "nulled", "pirated", "replica", "steroids", "tramadol", "levitra",
+    "apuestas", "tragaperras", "ruleta", "desnuda", "erótico", "erotico", "citas", "paris-sportifs", "érotique", "erotique",
+    "rencontre", "nue", "jeux-argent", "wetten", "spielautomat", "erotik", "nackt", "partnersuche", "glücksspiel",
+    "scommesse", "incontri", "nuda", "apostas", "caça-níqueis", "namoro", "gokken", "gokkast", "naakt", "zakłady", "kasyno",
+    "randki", "казино", "ставки", "секс", "знакомства", "赌场", "博彩", "カジノ", "アダルト",
 )
+# Words that spam hosts run together with a term, before it or behind it.
+LURES = ("best", "free", "live", "online", "top")
+TAILS = ("24", "online", "tube", "video")
 SOFT_LIMIT = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,26 +69,49 @@ def best_rule(rules: Sequence[Rule], host: Column, path: Column, value: str) ->
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def forms(term: str) -> list[str]:
+    """The ways a term is written: itself and, in ASCII, with a plural ending or run together with a lure or tail."""
+    if not term.isascii():
+        return [term]
+    plural = [] if term.endswith(("s", "x", "z")) else [term + "s"]
+    return [term, *plural, *(lure + term for lure in LURES), *(term + tail for tail in TAILS)]
+
+
+def vocabulary(strict: Sequence[str], soft: Sequence[str]) -> dict[str, tuple[str, bool]]:
+    """written form -> (term, whether it is strict); a form of several terms goes to the strict, then the first one."""
+    found: dict[str, tuple[str, bool]] = {}
+    for is_strict, terms in ((True, strict), (False, soft)):
+        # Terms as they stand come before the forms of others.
+        for form, term in [*((t, t) for t in terms), *((f, t) for t in terms for f in forms(t))]:
+            found.setdefault(form.lower(), (term, is_strict))
+    return found
+
+
+def readable(url: str | None) -> str:
+    """The url in lower case with ``%xx`` decoded once (UTF-8; other bytes become U+FFFD)."""
+    return unquote(url or "").lower()
+
+
 def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]):
     """Pandas UDF: url -> (strict, soft) numbers of distinct terms that stand free of letters and digits."""
-    terms = {**dict.fromkeys(soft, "soft"), **dict.fromkeys(strict, "strict")}
+    terms = vocabulary(strict, soft)
 
     @F.pandas_udf("strict_hits int, soft_hits int")
     def hits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = ahocorasick.Automaton()
-        for term in terms:
-            automaton.add_word(term, term)
+        for form in terms:
+            automaton.add_word(form, form)
         automaton.make_automaton()
         for urls in parts:
             rows = []
             for url in urls:
                 # Padding makes both ends of the url boundaries.
-                text = f" {(url or '').lower()} "
+                text = f" {readable(url)} "
                 seen = {
-                    term for end, term in (automaton.iter(text) if terms else ())
-                    if not text[end + 1].isalnum() and not text[end - len(term)].isalnum()
+                    terms[form] for end, form in (automaton.iter(text) if terms else ())
+                    if not text[end + 1].isalnum() and not text[end - len(form)].isalnum()
                 }
-                n = sum(terms[t] == "strict" for t in seen)
+                n = sum(is_strict for _, is_strict in seen)
                 rows.append((n, len(seen) - n))
             yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits"])
 
@@ -86,7 +124,8 @@ def filter_urls(
 ) -> DataFrame:
     """One row per page: host, path, rule, verdict, and the numbers of distinct strict and soft terms.
 
-    A fitting rule decides; otherwise one strict term or ``soft_limit`` distinct soft terms block. A null url, an
+    A fitting rule decides; otherwise one strict term or ``soft_limit`` distinct soft terms block. Forms of one term
+    (``forms``) count once, and ``%xx`` is decoded for the vocabulary, not for host and path. A null url, an
     empty one and one without ``://`` have an empty host and path and fit no rule (the vocabulary still reads what
     text there is). Repeated pages give repeated rows, an empty table an empty result; other columns are ignored.
     A rule is as long as its host and path together; rules of one length go by code point. One pass, no shuffle.
