@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared
-scratch folder and reads it back as the next stage's documents, so a lost executor costs at most one stage's work.
+Every stage takes (spark, docs, sf_dir), reads the columns of documents from docs, whatever else it has, and returns a
+DataFrame; ``run`` writes each result as Parquet to the shared scratch folder and reads it back as the next stage's
+documents, so a lost executor costs at most one stage's work.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ def one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; lang becomes the recognised one.
 
-    Profiles are learned from the training part of the input's own documents. Text that is null or has no letter is
-    rejected; every other document stays, with its own lang if nothing can be learned.
+    Profiles are learned from the training part of ``docs`` themselves. Text that is null or has no letter is rejected;
+    every other document stays, with its own lang if nothing can be learned. Repeated rows stay, an empty table stays
+    empty, and columns beside those of documents are left out.
     """
-    profiles = langid.learn(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    docs = docs.select(*COLUMNS)
+    profiles = langid.learn(docs, fold("doc_id", 4) != 2)
     if not profiles:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = langid.predict(docs, profiles, lang_out="_lang", score_out="_score")
@@ -51,7 +54,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (a null id comes last)."""
+    """One document of each group of near copies: the one with the smallest id (a null id comes last).
+
+    Null and empty texts, and those without words, are one group. Of rows that share an id the least row key stays;
+    equal rows count as one. An empty table stays empty; columns beside those of documents are left out.
+    """
+    docs = docs.select(*COLUMNS)
     keyed = docs.select("doc_id", "text", row_key(docs).alias(ROW))
     found = simhash.near_duplicates(keyed, carry=[ROW])
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
@@ -60,8 +68,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by a mark; n_chars follows the text."""
-    found = secret_scan.scan(docs)
+    """All documents, with the secrets in their texts replaced by a mark; n_chars follows the text.
+
+    Every row stays, repeated ones and those with a null id too. Null and empty texts and texts without a secret keep text
+    and n_chars as they are; of secrets that overlap one mark is left. Columns beside those of documents are left out.
+    """
+    found = secret_scan.scan(docs.select(*COLUMNS))
     clean = found.withColumn("_clean", secret_scan.redacted(F.col("text"), F.col("found")))
     length = F.when(F.size("found") > 0, F.char_length("_clean").cast("bigint")).otherwise(F.col("n_chars").cast("bigint"))
     return clean.select("doc_id", F.col("_clean").alias("text"), "lang", "source",
@@ -69,7 +81,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix of sources takes it."""
+    """Every document as many times as the mix of sources takes it.
+
+    Copies of equal rows add up; rows of one id with other columns are documents of their own. A null source is a source,
+    the last one; documents without words (null or empty text) are repeated like their neighbours in size and weigh
+    nothing. A source without any word gives no rows. Columns beside those of documents are left out.
+    """
+    docs = docs.select(*COLUMNS)
     keyed = docs.select("doc_id", "text", "source", row_key(docs).alias(ROW))
     copies = cut_lineage(mixing.mix(keyed, carry=[ROW]).select("doc_id", ROW, "copies"), "mix-copies")
     total = copies.groupBy("doc_id", ROW).agg(F.sum("copies").alias("copies")).filter("copies > 0")
@@ -78,8 +96,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
-    return packing.pack(docs)
+    """The pieces of the documents and their places in sequences.
+
+    Every row is packed, repeated ones as often as they come; a null or empty text is its end mark alone. Documents of one
+    length are told apart by id, and equal ids in no defined order. An empty table gives no pieces.
+    """
+    return packing.pack(docs.select(*COLUMNS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
