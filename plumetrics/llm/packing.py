@@ -18,7 +18,7 @@ from plumetrics.session import cut_lineage
 CAPACITY = 1024
 END = 2
 # Bytes of text that are encoded together.
-PORTION = 8 << 20
+PORTION = 1 << 20
 
 
 class Run(NamedTuple):
