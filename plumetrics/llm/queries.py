@@ -68,8 +68,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
     base = len(secret_scan.BASE)
     own = F.filter("found", lambda s: s["kind"] < base)
-    counts = [F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{r.kind}")
-              for i, r in enumerate(secret_scan.BASE)]
+    # ``filter`` gives a second parameter of its function the place in the array, so the kind is bound outside.
+    number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [number(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed(own), 256).alias("base_sha256"),
                         secret_scan.listed(F.col("found")).alias("spans"))
 

@@ -477,6 +477,17 @@ def test_document_queries(spark, rows, sf_dir):
     assert got == {i: brute_secrets(t) for i, t in texts}
 
 
+def test_secret_counts_follow_the_kind_not_the_place(spark, docs_of, tmp_path):
+    """Spans in which the n-th is not of the n-th kind, several of one kind, other kinds between, ids that repeat or are null."""
+    assign, access, hexes, other = "password=abcdefgh", "AKIA" + "Z" * 12, "0f" * 16, "ghp_" + "A" * 36
+    texts = [(1, f"{hexes} x"), (2, f"{access} {assign}"), (3, f"{assign} {assign} {hexes} {assign}"), (4, f"{other} {hexes} {access}"),
+             (5, f"{hexes} {access} {assign}"), (6, f"{assign} {access} {hexes}"), (7, None), (7, access), (7, access), (None, f"{access} {access}")]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op10_secret_scan"](spark, str(tmp_path)).collect()
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found)
+    assert got == Counter((i, *brute_secrets(t)) for i, t in texts)
+
+
 @pytest.mark.parametrize("name", ["op2_topk_search", "op7_url_filter"])
 def test_sql_twins(spark, rows, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
