@@ -5,6 +5,9 @@ groups of bounded size, so group sizes are counted first. Groups beyond ``direct
 instead: counts per bin, which add up on the map side and spread over all reducers, show which bin holds a
 wanted rank; only the values of that bin are looked at next, until few enough are left to order them. No raw
 row of such a group is ever shuffled before that, and counts are exact, so the result is.
+
+Tables of very many groups, each of few rows, would spend most of their time on making, storing and merging those value
+maps. There the rows are dealt by group and sorted by value instead, and the wanted places are read off.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ DIRECT_LIMIT = 1_000_000
 # Narrowing: bins per round, and the number of values that are ordered at last.
 BINS = 4096
 IN_HAND = 1_000_000
+# Groups are counted by buckets of their hash first: a few bytes a bucket, however many groups there are.
+BUCKETS = 1 << 16
 GREATEST = 1.7976931348623157e308
 
 # output name -> (column, probability)
@@ -79,10 +84,24 @@ def group_summary(
             return picked
         return with_row(df.agg(*aggregates), picked, "picked").select("*", "picked.*").drop("picked")
 
-    hot = df.groupBy(*keys).count().filter(F.col("count") > direct_limit).drop("count")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    buckets, n_used = cut_lineage_counted(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows")), "buckets")
+    # Only when groups are many is a raw row per value, dealt by group, spread over all tasks; sorting carries whole rows,
+    # so rows that hold much beside the values are cheaper by value maps.
+    columns = {column for column, _ in quantiles.values()}
+    narrow = len(df.columns) - len(keys) - len(columns) <= len(columns)
+    rest = (lambda some: _ordered_summary(some, keys, aggregates, quantiles)) if narrow and n_used > BUCKETS // 2 else (
+        lambda some: some.groupBy(*keys).agg(*aggregates, *direct))
+    # A group is no larger than its bucket, so groups are counted one by one in large buckets alone.
+    large = buckets.filter(F.col("_rows") > direct_limit).select("_bucket")
+    n_large = large.count()
+    if not n_large:
+        return rest(df)
+    inside = df.select(*keys, bucket.alias("_bucket")).join(broadcast_if_small(large, n_large), "_bucket", "left_semi")
+    hot = inside.groupBy(*keys).count().filter(F.col("count") > direct_limit).drop("count")
     hot, n_hot = cut_lineage_counted(hot, "hot-groups")
     if not n_hot:
-        return df.groupBy(*keys).agg(*aggregates, *direct)
+        return rest(df)
     # There are fewer hot groups than rows / direct_limit. Broadcasting them keeps the rows of a hot group
     # spread over the tasks that read them.
     hot = broadcast_if_small(hot, n_hot)
@@ -91,7 +110,7 @@ def group_summary(
     picked = narrowed_quantiles(hot_rows, keys, quantiles, bins, in_hand)
     base = hot_rows.groupBy(*keys).agg(*aggregates) if aggregates else hot
     hot_result = keyed_join(base, picked, keys, "left")
-    return cold_rows.groupBy(*keys).agg(*aggregates, *direct).unionByName(hot_result)
+    return rest(cold_rows).unionByName(hot_result)
 
 
 def quantile_row(df: DataFrame, quantiles: QuantileSpec, **options) -> DataFrame:
@@ -110,6 +129,46 @@ def _direct_columns(quantiles: QuantileSpec) -> list[Column]:
     ]
 
 
+def _ordered_summary(df: DataFrame, keys: list[str], aggregates: Sequence[Column], quantiles: QuantileSpec) -> DataFrame:
+    """One row per group, quantiles read off the sorted values.
+
+    Rows are sorted by a hash of the keys first, which tells most groups apart by one number; texts are compared only
+    where hashes are equal. They are dealt by the keys alone, so that joins on these need no further exchange.
+    """
+    columns = list(dict.fromkeys(column for column, _ in quantiles.values()))
+    group = ["_hash", *keys]
+    rows = df.withColumn("_hash", F.xxhash64(*keys)).repartition(*keys)
+    for i, c in enumerate(columns):
+        rows = rows.withColumn(f"_v{i}", number(c))
+        order = Window.partitionBy(*group).orderBy(F.col(f"_v{i}").asc_nulls_last())
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({f"_n{i}": F.count(f"_v{i}").over(whole), f"_at{i}": F.row_number().over(order) - 1})
+
+    def rank(i: int, p: float) -> Column:
+        return (F.col(f"_n{i}") - 1) * F.lit(float(p))
+
+    wanted = sorted({(columns.index(c), float(p)) for c, p in quantiles.values()})
+    ends = []
+    for k, (i, p) in enumerate(wanted):
+        ends += [F.max(F.when(F.col(f"_at{i}") == end(rank(i, p)), F.col(f"_v{i}"))).alias(f"_x{e}_{k}")
+                 for e, end in enumerate((F.floor, F.ceil))]
+    sizes = [F.max(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))]
+    out = rows.groupBy(*group).agg(*aggregates, *sizes, *ends)
+
+    def value(column: str, p: float) -> Column:
+        i = columns.index(column)
+        k, at = wanted.index((i, float(p))), rank(i, p)
+        return _between(at, F.col(f"_x0_{k}"), F.col(f"_x1_{k}"))
+
+    inner = {"_hash", *[f"_n{i}" for i in range(len(columns))], *[f"_x{e}_{k}" for k in range(len(wanted)) for e in (0, 1)]}
+    return out.select(*[c for c in out.columns if c not in inner], *[value(*spec).alias(name) for name, spec in quantiles.items()])
+
+
+def _between(at: Column, x0: Column, x1: Column) -> Column:
+    """The value at rank ``at``; in the form that ``percentile`` uses, so all ways agree, infinite and very large values included."""
+    return F.when(x0 == x1, x0).otherwise((F.ceil(at) - at) * x0 + (at - F.floor(at)) * x1)
+
+
 def narrowed_quantiles(
     df: DataFrame, keys: Sequence[str], quantiles: QuantileSpec, bins: int = BINS, in_hand: int = IN_HAND
 ) -> DataFrame:
@@ -159,9 +218,7 @@ def narrowed_quantiles(
         F.max(F.when(F.col("rank") == F.floor(at), F.col("v"))).alias("x0"),
         F.max(F.when(F.col("rank") == F.ceil(at), F.col("v"))).alias("x1"),
     )
-    # The form that ``percentile`` uses, so both ways agree, infinite and very large values included.
-    between = (F.ceil(at) - at) * F.col("x0") + (at - F.floor(at)) * F.col("x1")
-    valued = found.withColumn("value", F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(between))
+    valued = found.withColumn("value", _between(at, F.col("x0"), F.col("x1")))
     return valued.groupBy(*keys).agg(*[
         F.max(F.when((F.col("series") == columns.index(c)) & (F.col("p") == float(p)), F.col("value"))).alias(name)
         for name, (c, p) in quantiles.items()

@@ -95,7 +95,7 @@ def sounding_table(xco2: DataFrame, sif: DataFrame, site_table: DataFrame, **opt
     summary = site_season_summary(xco2, sif, site_table, **options).filter(F.col("population").isNotNull())
     options.pop("count_mode", None)
     # The quartiles, the models and the charts all read this table; compute it once.
-    return cut_lineage(summary, "site-season").transform(iqr_norm(SEASON_SCALING, **options))
+    return cut_lineage(summary, "site-season").transform(iqr_norm(SEASON_SCALING, **{**options, "stored": True}))
 
 
 def impact_table(city_year: DataFrame, **options) -> DataFrame:
@@ -227,7 +227,7 @@ def monthly_table(no2: DataFrame, xco2: DataFrame, sif: DataFrame, **options) ->
     """The modelling table of the three-source analysis."""
     merged = cut_lineage(monthly_merge(no2, xco2, sif, **options), "monthly")
     medians = cut_lineage(seasonal_medians(merged, stored=True, **options), "seasonal")
-    return medians.transform(iqr_norm(MONTHLY_SCALING, **options))
+    return medians.transform(iqr_norm(MONTHLY_SCALING, stored=True, **options))
 
 
 def city_month_series(points: DataFrame, unknown: str = "Unknown") -> DataFrame:

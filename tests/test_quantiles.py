@@ -53,6 +53,30 @@ def test_grouped_quantiles_direct_and_narrowed(frame, limit):
     assert {r.k: r.n for r in got.collect()}["hot"] == 3000
 
 
+@pytest.mark.parametrize("limit", [100, 5])
+def test_many_groups_are_sorted_not_mapped(frame, monkeypatch, limit):
+    """Quantiles of many small groups beside a hot one: same results as value maps."""
+    monkeypatch.setattr(quantiles, "BUCKETS", 2)
+    rng = random.Random(3)
+    data = rows(3) + [(f"g{i % 400}", rng.choice([None, float("nan"), rng.gauss(0, 1), -0.0, 5.0, float("inf")]),
+                       rng.choice([None, 1e308, -1e308, 2.0])) for i in range(1500)]
+    df = frame(data, "k string, v double, w double")
+    spec = {**P, "least": ("v", 0.0), "same": ("v", 0.5)}
+    counts = [F.count(F.lit(1)).alias("n"), F.count("w").alias("n_w")]
+    got = quantiles.group_summary(df, ["k"], counts, spec, direct_limit=limit, bins=7, in_hand=20)
+    want = quantiles.group_summary(df, ["k"], counts, spec)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_small_groups_make_no_value_maps(spark, frame, monkeypatch, capsys):
+    monkeypatch.setattr(quantiles, "BUCKETS", 2)
+    df = frame(rows(4), "k string, v double, w double").filter("k is null or k != 'hot'")
+    quantiles.group_summary(df, ["k"], [F.count(F.lit(1)).alias("n")], P, direct_limit=40).explain()
+    plan = capsys.readouterr().out
+    assert "percentile" not in plan and "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("limit", [10**6, 10])
 def test_whole_table_quantiles(frame, limit):
     data = rows(2)
