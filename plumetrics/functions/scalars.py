@@ -34,8 +34,13 @@ def finite_or_null(value: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space at both ends: blanks, line ends, tabs, and the spaces of Unicode."""
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+    """Without white space at both ends: blanks, line ends, tabs, and the spaces of Unicode.
+
+    Most texts have none, so only those whose first or last sign is one are searched. ``$`` also stands before a line
+    end that is no space (U+0085), so texts that end in one are searched too.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(f"{SPACES}|\\x{{85}}"), F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")).otherwise(text)
 
 
 def clean_text(value: Column, fallback: str = "") -> Column:
@@ -49,7 +54,7 @@ def composite_key(*parts: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Text to double, taking the leading number ("12abc" is 12); NULL when there is none."""
-    return F.regexp_extract(trimmed(text), NUMBER_PREFIX, 0).try_cast("double")
+    return F.regexp_extract(text, f"^{SPACES}*({NUMBER_PREFIX.removeprefix('^')})", 1).try_cast("double")
 
 
 def parse_time(text: Column) -> Column:

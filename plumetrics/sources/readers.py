@@ -141,7 +141,10 @@ def ingest_gate(text: DataFrame) -> DataFrame:
     """Typed soundings; rows without finite position, value and time are rejected."""
     extra = [c for c in text.columns if c not in SOUNDING_NAMES]
     city, country = clean_text(F.col("city"), UNKNOWN_CITY), clean_text(F.col("country"))
-    return parse_soundings(text).filter("valid").select(
+    # Named first, so that each is cleaned once and not again for the key.
+    named = parse_soundings(text).filter("valid").withColumns({"_city": city, "_country": country})
+    city, country = F.col("_city"), F.col("_country")
+    return named.select(
         *extra,
         F.col("lat_text").alias("latitude"), F.col("lon_text").alias("longitude"), F.col("value").alias("xco2"),
         F.col("t").alias("datetime"), month_start(F.col("t")).alias("month"),

@@ -106,3 +106,16 @@ def test_tail_probabilities():
     assert tails.t_quantile(0.95, 1e9) == pytest.approx(1.959963984540054, abs=1e-6)
     assert tails.t_quantile(0.95, 2) == pytest.approx(4.302652729911275, abs=1e-9)
     assert tails.t_quantile(0.95, 10) == pytest.approx(2.2281388519649385, abs=1e-9)
+
+
+def test_trimming_and_numbers_are_those_of_the_plain_patterns(frame):
+    """White space at either end, inside or alone, and U+0085, before which ``$`` also stands."""
+    signs = ["", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u1680", "\u2028", "\u200b", "\u3000", "\ufeff", "é", "😀"]
+    texts = [None, *[a + b + middle + c for a in signs for b in ("", " ") for middle in ("", "x", "1.5", "-2e3 x", ".5", "+", "a b") for c in (*signs, " \x85", " \n")]]
+    plain = F.regexp_replace("s", f"^{scalars.SPACES}+|{scalars.SPACES}+$", "")
+    value = F.regexp_extract(plain, scalars.NUMBER_PREFIX, 0).try_cast("double")
+    df = frame([(t,) for t in texts], "s string").select(
+        "s", scalars.trimmed(F.col("s")).alias("trimmed"), plain.alias("plain"), scalars.parse_number(F.col("s")).alias("number"), value.alias("value"))
+    assert df.filter(~F.col("trimmed").eqNullSafe(F.col("plain")) | ~F.col("number").eqNullSafe(F.col("value"))).collect() == []
+    text = df.select("trimmed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in text  # most texts are not searched
