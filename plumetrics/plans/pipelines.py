@@ -14,7 +14,7 @@ from plumetrics.operators.quantiles import group_summary, keyed_join
 from plumetrics.operators.relational import join_present, union_by_name
 from plumetrics.operators.scaling import iqr_norm, table_quantiles
 from plumetrics.operators.summaries import monthly_mean
-from plumetrics.session import cut_lineage
+from plumetrics.session import broadcast_if_small, cut_lineage, cut_lineage_counted
 
 SITE_FIELDS = ("country", "population", "gdp_bil_usd", "coastal_km")
 SEASON_PREDICTORS = ("sif_iqr", "pop_iqr", "xco2_numsams_iqr", "gdp_iqr", "coast_iqr")
@@ -147,6 +147,17 @@ def _restore_keys(df: DataFrame) -> DataFrame:
     }).drop("nameless")
 
 
+def _of_months(rows: DataFrame, months: DataFrame, n_months: int) -> DataFrame:
+    """Rows whose keys are among those of ``months``, told by a hash of the keys.
+
+    Rows of other months would be summarised only to be dropped by the join that follows. That join still compares the
+    keys themselves, so it does no harm if a row of another month has the hash of a wanted one.
+    """
+    wanted = broadcast_if_small(months.select(F.xxhash64(*_JOIN_KEYS).alias("_wanted")).distinct(), n_months)
+    hashed = rows.withColumn("_hash", F.xxhash64(*_JOIN_KEYS))
+    return hashed.join(wanted, F.col("_hash") == F.col("_wanted")).drop("_hash", "_wanted")
+
+
 def _xco2_by_month(xco2: DataFrame, **options) -> DataFrame:
     rows = xco2.select(*_month_keys(F.col("datetime")), "datetime", "sounding_id", "latitude", number("xco2").alias("xco2"))
     return group_summary(
@@ -156,8 +167,9 @@ def _xco2_by_month(xco2: DataFrame, **options) -> DataFrame:
     )
 
 
-def _sif_by_month(sif: DataFrame, **options) -> DataFrame:
+def _sif_by_month(sif: DataFrame, *months: DataFrame | int, **options) -> DataFrame:
     rows = sif.select(*_month_keys(F.col("datetime")), number("Daily_SIF_757nm").alias("sif"))
+    rows = _of_months(rows, *months) if months else rows
     return group_summary(rows, _JOIN_KEYS, [F.count("sif").alias("sif_n")], {"sif_median": ("sif", 0.5)}, **options)
 
 
@@ -174,11 +186,12 @@ def _spread_place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, *[F.col(f"place.{c}").alias(c) for c in PLACE], *rest)
 
 
-def _no2_by_month(no2: DataFrame, **options) -> DataFrame:
+def _no2_by_month(no2: DataFrame, *months: DataFrame | int, **options) -> DataFrame:
     dated = no2.withColumn("parsed", parse_mixed_date(F.col("date")))
     rows = dated.select(*_month_keys(F.col("parsed")), "parsed", *PLACE, number("no2").alias("no2"))
-    months = group_summary(rows, _JOIN_KEYS, [_first_place("parsed")], {"no2_median": ("no2", 0.5)}, **options)
-    return _spread_place(months, _JOIN_KEYS)
+    rows = _of_months(rows, *months) if months else rows
+    summary = group_summary(rows, _JOIN_KEYS, [_first_place("parsed")], {"no2_median": ("no2", 0.5)}, **options)
+    return _spread_place(summary, _JOIN_KEYS)
 
 
 def monthly_xco2(xco2: DataFrame, **options) -> DataFrame:
@@ -198,15 +211,17 @@ def monthly_no2(no2: DataFrame, **options) -> DataFrame:
 
 def monthly_pair(xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """Monthly XCO2 with the SIF of the same site and month, where there is any."""
-    return _restore_keys(_xco2_by_month(xco2, **options).join(_sif_by_month(sif, **options), list(_JOIN_KEYS), "left"))
+    months, n_months = cut_lineage_counted(_xco2_by_month(xco2, **options), "xco2-months")
+    return _restore_keys(months.join(_sif_by_month(sif, months, n_months, **options), list(_JOIN_KEYS), "left"))
 
 
 def monthly_merge(no2: DataFrame, xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """The three monthly tables joined on site and month, sites without population dropped, with season."""
+    months, n_months = cut_lineage_counted(_xco2_by_month(xco2, **options), "xco2-months")
     merged = (
-        _xco2_by_month(xco2, **options)
-        .join(_sif_by_month(sif, **options), list(_JOIN_KEYS), "left")
-        .join(_no2_by_month(no2, **options), list(_JOIN_KEYS), "left")
+        months
+        .join(_sif_by_month(sif, months, n_months, **options), list(_JOIN_KEYS), "left")
+        .join(_no2_by_month(no2, months, n_months, **options), list(_JOIN_KEYS), "left")
         .filter(F.col("population").isNotNull())
     )
     return _restore_keys(merged).withColumn("season", labels.season(F.col("latitude"), F.col("month")))

@@ -109,12 +109,13 @@ def no2_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = date.when((which == 2) & (F.dayofmonth(ts) > 12), F.date_format(ts, "dd-MM-yyyy"))
     date = date.when(which == 2, F.date_format(ts, "yyyyMMdd"))
     date = date.when(which == 3, F.date_format(ts, styles[3])).otherwise(F.date_format(ts, styles[4]))
-    rows = _shipped(spark, sf_dir, "l_shipdate", "l_tax").select(
-        site_name(F.col("o_custkey")).alias("Target.Name"), F.col("l_tax").alias("mean"), date.alias("date")
-    )
-    place = site_file(spark, sf_dir)
+    # The sites are joined to the orders, of which there are far fewer than rows.
+    owners = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), site_name(F.col("o_custkey")).alias("Target.Name")
+    ).join(site_file(spark, sf_dir), "Target.Name")
+    shipped = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_tax").alias("mean"), date.alias("date"))
     where = F.substring_index
-    return rows.join(place, "Target.Name").select(
+    return shipped.join(owners, "l_orderkey").select(
         "`Target.Name`", F.col("`Site.Center.WKT`").alias(".geo"), "`Site.Shape.WKT`",
         where(where("`Site.Center.WKT`", " ", -1), ")", 1).cast("double").alias("lat"),
         where(where("`Site.Center.WKT`", "(", -1), " ", 1).cast("double").alias("lon"),

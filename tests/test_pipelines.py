@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumetrics.operators import relational
-from plumetrics.plans import pipelines
+from plumetrics.plans import pipelines, standins
 
 OBS = "sounding_id bigint, target_name string, datetime timestamp_ntz, local_time timestamp_ntz, latitude double, xco2 double, " \
     "city string, country string, population double"
@@ -112,3 +112,81 @@ def test_impact_score(frame):
         assert r.impact_iqr == pytest.approx(r.co2_conc_iqr - r.co2_em_iqr)
     q = table.agg(F.percentile("co2_conc_iqr", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
     assert q == pytest.approx([0.0, 1.0])
+
+
+NO2 = "target_name string, city string, country string, population double, gdp_bil_usd double, coastal_km double, " \
+    "is_coastal string, no2 double, date string"
+
+
+def no2_rows(frame):
+    """Rows in and out of the months of the soundings, with missing names and dates, and places that differ within a month."""
+    rng = random.Random(12)
+    out = []
+    for i in range(300):
+        name = rng.choice(["a", "b", "c", "elsewhere", None])
+        date = rng.choice([f"{rng.choice([2019, 2021])}-{1 + i % 12:02d}-{1 + i % 27:02d}", f"{1 + i % 12:02d}/2021", "junk", None])
+        out.append((name, rng.choice(["A", None]), "X", rng.choice([10.0, 20.0, None]), float(i % 3), 5.0, "True", rng.random(), date))
+    return frame(out, NO2)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_only_rows_of_sounding_months_are_summarised(frame, monkeypatch, collide):
+    """The months of the soundings decide what is summarised, by a hash; a hash that tells nothing changes no result."""
+    obs, sif, _ = tables(frame)
+    # Every other month of the soundings is taken out.
+    obs, no2 = obs.filter("month(datetime) % 2 = 1"), no2_rows(frame)
+    keys = [*pipelines.MONTH_KEYS]
+    months = pipelines.monthly_xco2(obs)
+    all_sif, all_no2 = pipelines.monthly_sif(sif), pipelines.monthly_no2(no2)
+    want = relational.left_join(relational.left_join(months, all_sif, keys), all_no2, keys)
+
+    summarised = []
+
+    def spy(df, *args, **kwargs):
+        summarised.append(df.select(*keys).distinct().count())
+        return summary(df, *args, **kwargs)
+
+    summary, n_months = pipelines.group_summary, months.count()
+    monkeypatch.setattr(pipelines, "group_summary", spy)
+    if collide:
+        monkeypatch.setattr(pipelines.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+    pair = pipelines.monthly_pair(obs, sif).collect()
+    merged = pipelines.monthly_merge(no2, obs, sif).drop("season").collect()
+    if not collide:
+        assert len(summarised) == 5 and all(n <= n_months for n in summarised)
+    monkeypatch.undo()
+    assert sorted(map(str, pair)) == sorted(map(str, relational.left_join(months, all_sif, keys).collect()))
+    want = want.filter("population is not null").select(*merged[0].__fields__).collect()
+    assert len(want) > 5 and sorted(map(str, merged)) == sorted(map(str, want))
+
+
+def test_no2_file_joins_sites_to_orders_not_to_rows(spark, frame, tmp_path, capsys):
+    """Sites listed twice, customers without orders, orders without customer: as the join of all rows with all sites."""
+    when = dt.datetime(2020, 3, 14)
+    data = {
+        "nation": [(1, "N", 0)],
+        "customer": [(1, "Customer#000000001", 1, 5.0, "x"), (1, "Customer#000000001", 1, 6.0, "x"),
+                     (2, "Customer#000000002", None, -1.0, "x"), (3, None, 1, 1.0, "x"), (None, "Customer#000000009", 1, 1.0, "x")],
+        "orders": [(i, i % 5 or None, "O", 1.0, when, "p") for i in range(10)] + [(None, 1, "O", 1.0, when, "p"), (4, 2, "O", 1.0, when, "p")],
+        "lineitem": [(i % 12, 1, 1, i, 1.0, 1.0, 0.0, i / 100, "N", "O", when) for i in range(60)] + [(None, 1, 1, 1, 1.0, 1.0, 0.0, 0.5, "N", "O", when)],
+    }
+    for name, rows in data.items():
+        frame(rows, standins.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = standins.no2_file(spark, str(tmp_path))
+    owner = [(o[0], f"Customer#{o[1]:09d}") for o in data["orders"] if o[0] is not None and o[1] is not None]
+    want = sorted((c[1], str(c[3] if c[3] > 0 else None), li[7]) for li in data["lineitem"] for order, name in owner if order == li[0]
+                  for c in data["customer"] if c[1] == name)
+    assert sorted((r["Target.Name"], str(r.population), r["mean"]) for r in got.collect()) == want and len(want) > 30
+    got.explain()
+    lines = capsys.readouterr().out.splitlines()
+
+    def joins_above(column):
+        at = next(i for i, line in enumerate(lines) if "FileScan" in line and column in line)
+        inner, n = len(lines[at]) - len(lines[at].lstrip(" :+-")), 0
+        for line in reversed(lines[:at]):
+            indent = len(line) - len(line.lstrip(" :+-"))
+            if indent < inner:
+                inner, n = indent, n + ("Join" in line)
+        return n
+
+    assert [joins_above(c) for c in ("l_shipdate", "o_custkey", "c_name")] == [1, 2, 3]
