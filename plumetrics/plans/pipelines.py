@@ -147,15 +147,22 @@ def _restore_keys(df: DataFrame) -> DataFrame:
     }).drop("nameless")
 
 
-def _of_months(rows: DataFrame, months: DataFrame, n_months: int) -> DataFrame:
-    """Rows whose keys are among those of ``months``, told by a hash of the keys.
+def _month_hashes(months: DataFrame) -> DataFrame:
+    """A hash of the keys of each month, every hash once. They are stored, so a join with them can split the rows of a hot month."""
+    hashes = months.select(F.xxhash64(*_JOIN_KEYS).alias("_wanted")).distinct()
+    return broadcast_if_small(*cut_lineage_counted(hashes, "month-hashes"))
+
+
+def _of_months(rows: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """Rows of the months with these ``hashes`` (all rows if there are none given).
 
     Rows of other months would be summarised only to be dropped by the join that follows. That join still compares the
     keys themselves, so it does no harm if a row of another month has the hash of a wanted one.
     """
-    wanted = broadcast_if_small(months.select(F.xxhash64(*_JOIN_KEYS).alias("_wanted")).distinct(), n_months)
+    if hashes is None:
+        return rows
     hashed = rows.withColumn("_hash", F.xxhash64(*_JOIN_KEYS))
-    return hashed.join(wanted, F.col("_hash") == F.col("_wanted")).drop("_hash", "_wanted")
+    return hashed.join(hashes, F.col("_hash") == F.col("_wanted")).drop("_hash", "_wanted")
 
 
 def _xco2_by_month(xco2: DataFrame, **options) -> DataFrame:
@@ -167,9 +174,9 @@ def _xco2_by_month(xco2: DataFrame, **options) -> DataFrame:
     )
 
 
-def _sif_by_month(sif: DataFrame, *months: DataFrame | int, **options) -> DataFrame:
+def _sif_by_month(sif: DataFrame, hashes: DataFrame | None = None, **options) -> DataFrame:
     rows = sif.select(*_month_keys(F.col("datetime")), number("Daily_SIF_757nm").alias("sif"))
-    rows = _of_months(rows, *months) if months else rows
+    rows = _of_months(rows, hashes)
     return group_summary(rows, _JOIN_KEYS, [F.count("sif").alias("sif_n")], {"sif_median": ("sif", 0.5)}, **options)
 
 
@@ -186,12 +193,12 @@ def _spread_place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, *[F.col(f"place.{c}").alias(c) for c in PLACE], *rest)
 
 
-def _no2_by_month(no2: DataFrame, *months: DataFrame | int, **options) -> DataFrame:
+def _no2_by_month(no2: DataFrame, hashes: DataFrame | None = None, **options) -> DataFrame:
     dated = no2.withColumn("parsed", parse_mixed_date(F.col("date")))
     rows = dated.select(*_month_keys(F.col("parsed")), "parsed", *PLACE, number("no2").alias("no2"))
-    rows = _of_months(rows, *months) if months else rows
-    summary = group_summary(rows, _JOIN_KEYS, [_first_place("parsed")], {"no2_median": ("no2", 0.5)}, **options)
-    return _spread_place(summary, _JOIN_KEYS)
+    rows = _of_months(rows, hashes)
+    months = group_summary(rows, _JOIN_KEYS, [_first_place("parsed")], {"no2_median": ("no2", 0.5)}, **options)
+    return _spread_place(months, _JOIN_KEYS)
 
 
 def monthly_xco2(xco2: DataFrame, **options) -> DataFrame:
@@ -211,17 +218,18 @@ def monthly_no2(no2: DataFrame, **options) -> DataFrame:
 
 def monthly_pair(xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """Monthly XCO2 with the SIF of the same site and month, where there is any."""
-    months, n_months = cut_lineage_counted(_xco2_by_month(xco2, **options), "xco2-months")
-    return _restore_keys(months.join(_sif_by_month(sif, months, n_months, **options), list(_JOIN_KEYS), "left"))
+    months = cut_lineage(_xco2_by_month(xco2, **options), "xco2-months")
+    return _restore_keys(months.join(_sif_by_month(sif, _month_hashes(months), **options), list(_JOIN_KEYS), "left"))
 
 
 def monthly_merge(no2: DataFrame, xco2: DataFrame, sif: DataFrame, **options) -> DataFrame:
     """The three monthly tables joined on site and month, sites without population dropped, with season."""
-    months, n_months = cut_lineage_counted(_xco2_by_month(xco2, **options), "xco2-months")
+    months = cut_lineage(_xco2_by_month(xco2, **options), "xco2-months")
+    hashes = _month_hashes(months)
     merged = (
         months
-        .join(_sif_by_month(sif, months, n_months, **options), list(_JOIN_KEYS), "left")
-        .join(_no2_by_month(no2, months, n_months, **options), list(_JOIN_KEYS), "left")
+        .join(_sif_by_month(sif, hashes, **options), list(_JOIN_KEYS), "left")
+        .join(_no2_by_month(no2, hashes, **options), list(_JOIN_KEYS), "left")
         .filter(F.col("population").isNotNull())
     )
     return _restore_keys(merged).withColumn("season", labels.season(F.col("latitude"), F.col("month")))

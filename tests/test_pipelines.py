@@ -160,6 +160,25 @@ def test_only_rows_of_sounding_months_are_summarised(frame, monkeypatch, collide
     assert len(want) > 5 and sorted(map(str, merged)) == sorted(map(str, want))
 
 
+def test_rows_of_a_hot_month_are_split(spark, monkeypatch):
+    """Months too many to broadcast: rows of one month that holds nearly all go to several tasks."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "1k",
+                "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    monkeypatch.setattr("plumetrics.session.BROADCAST_ROWS", 0)
+    key = [F.lit("a").alias("target_name"), F.lit(False).alias("nameless"), F.lit(2021).cast("bigint").alias("year")]
+    months = spark.range(40).select(*key, F.col("id").alias("month"))
+    rows = spark.range(0, 20000, 1, 4).select(*key, F.when(F.col("id") % 100 == 0, F.col("id") % 60).otherwise(3).alias("month"), "id")
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        kept = pipelines._of_months(rows, pipelines._month_hashes(months))
+        assert len(kept.collect()) == rows.filter("month < 40").count()
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
 def test_no2_file_joins_sites_to_orders_not_to_rows(spark, frame, tmp_path, capsys):
     """Sites listed twice, customers without orders, orders without customer: as the join of all rows with all sites."""
     when = dt.datetime(2020, 3, 14)
