@@ -1,13 +1,13 @@
-"""Exact top-k inner products by the three-phase uniform threshold (Cao and Wang, 2004), in blocks of vectors."""
+"""Exact top-k inner products by the three-phase uniform threshold (Cao and Wang, 2004), in tiles and blocks of vectors."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from plumetrics.llm.common import piece_count
@@ -16,9 +16,15 @@ from plumetrics.session import cut_lineage
 K = 20
 LISTS = 4
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
+# A tile is what travels: up to that many blocks, while its vectors take TILE_BYTES as 64-bit numbers. Small tables
+# have more tiles, down to a block each, so that their pairs are enough for all tasks.
+QUERY_TILE, ROW_TILE = 16, 8
+QUERY_TILES, ROW_TILES = 2, 16
+TILE_BYTES = 32 << 20
+MOST_TASKS = 4096
 SCALE = 64
 NO_CUTOFF = -(1 << 63)
-BLOCK = "block long, ids binary, rows binary, width int, kind string, matrix binary"
+TILE = "tile long, ids binary, rows binary, width int, kind string, matrix binary"
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
@@ -32,9 +38,14 @@ def usable(vector: Column) -> Column:
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def blocks(rows: DataFrame, count: int, per_block: int) -> tuple[DataFrame, int]:
-    """(id, row, vector) -> blocks of about ``per_block`` vectors each, in the narrowest whole numbers; their number."""
-    number = piece_count(count, per_block)
+def tile_count(count: int, width: int, per_block: int, most_blocks: int, wanted: int) -> int:
+    """Number of tiles of at most ``most_blocks`` blocks; ``wanted`` or more if there are as many blocks."""
+    per_tile = max(per_block, min(per_block * most_blocks, TILE_BYTES // (8 * max(width, 1))))
+    return max(piece_count(count, per_tile), min(piece_count(count, per_block), wanted))
+
+
+def tiles(rows: DataFrame, number: int) -> DataFrame:
+    """(id, row, vector) -> ``number`` tiles of about as many vectors each, in the narrowest whole numbers."""
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["id", "row"])
@@ -45,12 +56,12 @@ def blocks(rows: DataFrame, count: int, per_block: int) -> tuple[DataFrame, int]
         low, high = matrix.min(initial=0), matrix.max(initial=0)
         narrow = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
         return pd.DataFrame({
-            "block": [key[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()],
+            "tile": [key[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()],
             "width": [width], "kind": [np.dtype(narrow).str], "matrix": [matrix.astype(narrow).tobytes()]})
 
-    # By row, so that no block grows with the rows of one id.
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number)))
-    return cut_lineage(dealt.groupBy("block").applyInPandas(pack, BLOCK), "blocks"), number
+    # By row, so that no tile grows with the rows of one id.
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(number)))
+    return cut_lineage(dealt.groupBy("tile").applyInPandas(pack, TILE), "tiles")
 
 
 def unpacked(ids: bytes, rows: bytes, width: int, kind: str, matrix: bytes, to_width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +117,15 @@ def above(scores: np.ndarray, same: np.ndarray, cutoff: np.ndarray) -> tuple[np.
     return query[keep], row[keep], total[keep]
 
 
+def pieces(count: int, per_piece: int) -> list[slice]:
+    return [slice(i, i + per_piece) for i in range(0, count, per_piece)]
+
+
+def leading(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` rows of each query with the highest score, then the smaller id."""
+    return found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True]).groupby("query_row").head(k)
+
+
 def best(rows: DataFrame, by: list[str], block: str, blocks: int, entry: Column, k: int) -> DataFrame:
     """(by, top): the ``k`` least ``entry`` values of a group, in two rounds, so that no list grows with the blocks."""
     part = F.pmod(F.col(block), F.lit(max(1, math.isqrt(blocks)))).alias("_part")
@@ -121,9 +141,9 @@ def top_k(
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query with all other rows.
 
     ``is_query`` is a condition on ``rows``. Vectors are scaled and floored to whole numbers, and their components
-    are dealt to ``lists`` score lists. The threshold method runs in three phases: every pair of a query block and a
-    row block sends the totals of its local lists' leaders; the k-th best total of a query is a safe cutoff, as that
-    many rows reach it; with the cutoffs, sent along with the query blocks, every pair of blocks collects the entries
+    are dealt to ``lists`` score lists. The threshold method runs in three phases: every pair of a query tile and a
+    row tile sends the ``k`` best totals of the leaders of its blocks' local lists; the k-th best total of a query is a safe
+    cutoff, as that many rows reach it; with the cutoffs, sent along with the query tiles, every pair collects the entries
     that can reach theirs and resolves them exactly. Equal scores go by smaller vec_id.
 
     Vectors that are null or hold null, NaN or infinite components take no part, nor do rows whose id is null.
@@ -131,8 +151,10 @@ def top_k(
     Rows that repeat an id with another vector are candidates, and if asked for queries, of their own: a query meets all
     rows but itself, and each query of an id has its ``k`` rows (``query_rows`` adds a number that tells them apart).
     A query gets fewer than k rows only if there are no more; with no other row it has none.
-    An empty table gives an empty result. The query set meets all rows in blocks of fixed size, by a join on the pair
-    of block numbers: the work is queries times rows, the memory of a task one pair of blocks.
+    An empty table gives an empty result. The query set meets all rows in tiles of fixed size, by a cogroup on the pair of
+    tile numbers, and within a pair in blocks: the work is queries times rows, the memory of a task one pair of tiles and
+    the scores of one pair of blocks. No side is broadcast: the copies of the tiles, one for each tile of the other side, are
+    far more than the planner, who knows the stored tiles, takes them for.
     """
     read = rows.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("bigint").alias("id"), quantized(F.col(vector), scale).alias("vector"),
@@ -141,39 +163,55 @@ def top_k(
     read = cut_lineage(different.withColumn("row", F.monotonically_increasing_id()), "vectors")
     size = read.agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"), F.max(F.size("vector")).alias("w")).first()
     width = size["w"] or 0
-    row_blocks, n_rows = blocks(read, size["n"], row_block)
-    query_blocks, n_queries = blocks(read.filter("asked"), size["asked"], query_block)
-    own = ("ids", "rows", "width", "kind", "matrix")
-    q = query_blocks.select(F.col("block").alias("qb"), *[F.col(c).alias(f"q_{c}") for c in own],
-                            F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<bigint>")).alias("rb"))
-    r = row_blocks.select(F.col("block").alias("rb"), *own,
-                          F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>")).alias("qb"))
-    pairs = q.join(r, ["qb", "rb"])
-
-    def each(part: pd.DataFrame):
-        for x in part.itertuples():
-            q_ids, q_rows, q_matrix = unpacked(x.q_ids, x.q_rows, x.q_width, x.q_kind, x.q_matrix, width)
-            ids, rows, matrix = unpacked(x.ids, x.rows, x.width, x.kind, x.matrix, width)
-            yield x, q_ids, q_rows, ids, partial_scores(q_matrix, matrix, lists), q_rows[:, None] == rows[None, :]
-
-    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for x, _, q_rows, _, scores, same in each(part):
-                totals = local_lists(scores, same, k)
-                yield pd.DataFrame({"qb": x.qb, "rb": x.rb, "query_row": np.repeat(q_rows, [len(t) for t in totals]),
-                                    "total": np.concatenate([*totals, np.zeros(0, np.int64)]).astype(np.int64)})
-
-    def resolve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for x, q_ids, q_rows, ids, scores, same in each(part):
-                cutoff = pd.Series(np.frombuffer(x.cutoffs, np.int64), index=np.frombuffer(x.cutoff_rows, np.int64))
-                query, row, total = above(scores, same, cutoff.reindex(q_rows, fill_value=NO_CUTOFF).to_numpy())
-                found = pd.DataFrame({"rb": x.rb, "query_row": q_rows[query], "query_id": q_ids[query], "vec_id": ids[row],
-                                      "score": total.astype(np.int64)})
-                found = found.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True])
-                yield found.groupby("query_row").head(k)
-
-    local = pairs.mapInPandas(gather, "qb long, rb long, query_row long, total long")
+    n_rows = tile_count(size["n"], width, row_block, ROW_TILE, ROW_TILES)
+    n_queries = tile_count(size["asked"], width, query_block, QUERY_TILE, QUERY_TILES)
+    row_tiles = tiles(read, n_rows).withColumnRenamed("tile", "rb")
+    query_tiles = tiles(read.filter("asked"), n_queries).withColumnRenamed("tile", "qb")
+    # Twice as many tasks as pairs, so that few tasks get several pairs by their hash.
+    n_tasks = min(2 * n_queries * n_rows, MOST_TASKS)
+
+    def dealt(side: DataFrame, other: str, number: int) -> GroupedData:
+        copies = side.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(number - 1)).cast("array<bigint>")))
+        return copies.repartition(n_tasks, "qb", "rb").groupBy("qb", "rb")
+
+    def met(queries: DataFrame, each: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+        return dealt(queries, "rb", n_rows).cogroup(dealt(row_tiles, "qb", n_queries)).applyInPandas(each, schema)
+
+    def opened(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return unpacked(*tile[["ids", "rows", "width", "kind", "matrix"]].iloc[0], width)
+
+    def gather(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        leaders = [np.zeros(0, np.int64)]
+        met_rows = [np.zeros(0, np.int64)]
+        if len(queries) and len(rows):
+            (_, q_rows, q_matrix), (_, r_rows, r_matrix) = opened(queries), opened(rows)
+            for q in pieces(len(q_rows), query_block):
+                found = [[] for _ in q_rows[q]]
+                for r in pieces(len(r_rows), row_block):
+                    scores = partial_scores(q_matrix[q], r_matrix[r], lists)
+                    for one, totals in zip(found, local_lists(scores, q_rows[q][:, None] == r_rows[r][None, :], k)):
+                        one.append(totals.astype(np.int64))
+                top = [np.sort(np.concatenate(one))[::-1][:k] for one in found]
+                leaders += top
+                met_rows.append(np.repeat(q_rows[q], [len(t) for t in top]))
+        return pd.DataFrame({"qb": key[0], "rb": key[1], "query_row": np.concatenate(met_rows), "total": np.concatenate(leaders)})
+
+    def resolve(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        kept = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_row", "query_id", "vec_id", "score")})]
+        if len(queries) and len(rows):
+            (q_ids, q_rows, q_matrix), (r_ids, r_rows, r_matrix) = opened(queries), opened(rows)
+            cutoffs, cutoff_rows = (np.frombuffer(queries[c].iloc[0], np.int64) for c in ("cutoffs", "cutoff_rows"))
+            cutoff = pd.Series(cutoffs, index=cutoff_rows)
+            cutoff = cutoff.reindex(q_rows, fill_value=NO_CUTOFF).to_numpy()
+            for q in pieces(len(q_rows), query_block):
+                for r in pieces(len(r_rows), row_block):
+                    scores = partial_scores(q_matrix[q], r_matrix[r], lists)
+                    query, row, total = above(scores, q_rows[q][:, None] == r_rows[r][None, :], cutoff[q])
+                    kept.append(leading(pd.DataFrame({"query_row": q_rows[q][query], "query_id": q_ids[q][query],
+                                                      "vec_id": r_ids[r][row], "score": total.astype(np.int64)}), k))
+        return leading(pd.concat(kept, ignore_index=True), k).assign(rb=key[1])
+
+    local = met(query_tiles, gather, "qb long, rb long, query_row long, total long")
     leaders = best(local, ["qb", "query_row"], "rb", n_rows, -F.col("total"), k)
     # With fewer than k rows in all nothing is cut off.
     cutoff = F.when(F.size("top") >= k, -F.element_at("top", k)).otherwise(F.lit(NO_CUTOFF))
@@ -182,11 +220,11 @@ def top_k(
         return pd.DataFrame({"qb": [key[0]], "cutoff_rows": [part["query_row"].to_numpy(np.int64).tobytes()],
                              "cutoffs": [part["cutoff"].to_numpy(np.int64).tobytes()]})
 
-    per_block = cut_lineage(
+    per_tile = cut_lineage(
         leaders.select("qb", "query_row", cutoff.alias("cutoff")).groupBy("qb")
         .applyInPandas(cutoffs, "qb long, cutoff_rows binary, cutoffs binary"), "cutoffs")
-    found = q.join(per_block, "qb").join(r, ["qb", "rb"]).mapInPandas(
-        resolve, "rb long, query_row long, query_id long, vec_id long, score long")
+    found = met(query_tiles.hint("merge").join(per_tile, "qb"), resolve,
+                "query_row long, query_id long, vec_id long, score long, rb long")
     entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))
     top = best(found, ["query_row", "query_id"], "rb", n_rows, entry, k)
     return top.select("query_row", "query_id", F.posexplode("top").alias("at", "x")).select(

@@ -77,6 +77,32 @@ def test_top_k_few_rows_and_none(frame, rows):
     assert rows(topk_search.top_k(frame([], SCHEMA), F.col("vec_id") % 20 == 0)) == []
 
 
+def test_top_k_sends_no_copies_through_the_driver(spark, frame, rows, monkeypatch):
+    """The copies of tiles or blocks for each other one are far more than the stored tables, by whose size the planner broadcasts."""
+    rnd = random.Random(9)
+    data = [(i, [rnd.gauss(0, 1) for _ in range(4)], 1, "", 0) for i in range(600)]
+    plans = []
+    explained = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    cut = topk_search.cut_lineage
+    monkeypatch.setattr(topk_search, "cut_lineage", lambda df, label="step": explained(df) or cut(df, label))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = topk_search.top_k(frame(data, SCHEMA), F.col("vec_id") % 20 == 0, query_block=2, row_block=5)
+        explained(got)
+        assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+        assert rows(got) == brute_top(data)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("count, width, number", [
+    (0, 0, 1), (3000, 64, 1), (51282, 64, 13), (615384, 64, 19), (10**7, 64, 306), (10**6, 768, 184), (10**5, 1 << 20, 25)])
+def test_tiles_are_bounded_and_enough(count, width, number):
+    """Tiles hold at most eight blocks and 32 MB of numbers, down to one block; few rows make up to 16 of them."""
+    assert topk_search.tile_count(count, width, 4096, topk_search.ROW_TILE, topk_search.ROW_TILES) == number
+
+
 def test_near_vectors(frame, rows):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
